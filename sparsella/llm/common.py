@@ -97,10 +97,10 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of some texts, and for each text the index of its first word (one more at the end)."""
     solid = np.zeros(len(data) + 1, bool)
-    np.logical_not(BLANK[data], out=solid[:-1])
+    np.logical_not(blank[data], out=solid[:-1])
     before = np.zeros(len(data) + 1, bool)
     before[1:] = solid[:-1]
     before[offsets] = False  # a text begins: no word goes on
@@ -109,7 +109,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[:-1] = solid[:-1]
     follows = np.zeros(len(data) + 1, bool)
     follows[:-1] = solid[1:]
-    follows[offsets[1:] - 1] = False
+    follows[np.maximum(offsets[1:] - 1, 0)] = False
     ends = np.flatnonzero(after & ~follows) + 1
     return starts, ends, np.searchsorted(starts, offsets, "left")
 

@@ -6,22 +6,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .disclosure import personal_data
+
+    return personal_data(_table(spark, sf_dir))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nbsvm import quality_scores
+
+    return quality_scores(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cdc import fingerprints
+
+    return fingerprints(_table(spark, sf_dir))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .debruijn import drop_repeated_words
 
-    return drop_repeated_words(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return drop_repeated_words(_table(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .training_order import materialised
+
+    return materialised(_table(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("key")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_components
 
-    found = near_components(_documents(spark, sf_dir))
+    found = near_components(_table(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op8_simhash_near_dedup)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_rows
+
+    return mixed_rows(_table(spark, sf_dir)).select("doc.doc_id", "doc.source", "tokens", "source_budget", "pass", "block", "position")
+
+
+def op10_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .longmatch import drop_long_matches
+
+    return drop_long_matches(_table(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_substring_dedup, op5_training_order, op6_toxicity, op7_decontamination, op8_simhash_near_dedup, op9_mixing, op10_long_matches)}
 ORACLE_SQL: dict[str, str] = {}
