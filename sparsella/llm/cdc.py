@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import pack_docs, text_bytes, unpack_docs
-from .common import Rolling, mixed, slices, text_column
+from .common import Rolling, bounded_batches, gathered, mixed, slices, text_column
 
 #: Least, normal and greatest bytes of a chunk, and bits that must be zero before and after the normal size.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 32, 64, 256, 7, 5
 #: Bytes of text in a range of documents, on average.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id: it comes last
 
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
@@ -127,6 +127,7 @@ def _bounds(docs: DataFrame, ranges: int) -> list[int]:
 def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how near a document is to its edited text and to the one that follows."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), "text")
     bounds = np.array(_bounds(docs, math.ceil(text_bytes(docs) / range_bytes) or 1), np.int64)
 
@@ -142,9 +143,7 @@ def fingerprints(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     goes_to = {first[r]: held[(i + 1) % len(held)] for i, r in enumerate(held)}  # a range's head follows the last of the range above; the last of all is followed by the first
 
     def pack(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             ids, texts = batch.column(0).to_numpy(), text_column(batch).to_pylist()
             at = np.searchsorted(bounds, ids, "right")
             order = np.argsort(at, kind="stable")

@@ -18,10 +18,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, text_column
+from .common import bounded_batches, gathered, mixed, text_column, trim
 
 #: Bytes of text in a chunk, and entries in a bucket of hashes, on average.
-CHUNK_BYTES, BUCKET_ENTRIES = 8 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_ENTRIES = 4 << 20, 1 << 20
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -49,6 +49,7 @@ def pack_docs(ids: np.ndarray, texts: list[bytes], level: int = 3) -> bytes:
 
 def unpack_docs(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """doc_ids and texts, in order of doc_id, then text: the same however the rows arrive."""
+    trim()
     ids, texts = [], []
     for blob in blobs:
         data = zstandard.ZstdDecompressor().decompress(blob)
@@ -65,9 +66,7 @@ def packed(docs: DataFrame, chunks: int, parts: int) -> DataFrame:
     """chunk, docs (binary): the rows that have a doc_id, by chunk."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             texts, chunk = text_column(batch).to_pylist(), chunk_of(ids, chunks)
             order = np.argsort(chunk, kind="stable")
@@ -79,6 +78,7 @@ def packed(docs: DataFrame, chunks: int, parts: int) -> DataFrame:
                 blobs.append(pack_docs(ids[rows], [texts[i] for i in rows.tolist()]))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "docs"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "chunk int, docs binary").repartition(parts, "chunk")
 

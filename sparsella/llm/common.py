@@ -3,6 +3,7 @@ text columns, storage that every executor shares, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel takes at once; a longer text is one slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +31,42 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch of whole texts, and bytes of text that a packer gathers before it deals them out.
+BATCH_ROWS, GATHERED = 1000, 12 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session asks for fewer: with whole texts, Spark's default of 10,000 takes much of a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def gathered(batches, limit: int = GATHERED):
+    """Batches put together until they hold about limit bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system: workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A string or binary column as binary, nulls as empty."""
+    trim()
     column = batch.column(batch.schema.get_field_index(name))
     if pa.types.is_string(column.type):
         column = column.cast(pa.binary())

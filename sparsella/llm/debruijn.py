@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import bucket_cuts, chunk_of, first_seen, pack_docs, packed, planes, sizes, unpack_docs, unplaned
-from .common import Rolling, slices, text_column, words
+from .common import Rolling, slices, text_column, trim, words
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 NOTE = "chunk int, kind int, bucket int, bits binary, source binary"
@@ -78,6 +78,7 @@ def edge_sources(blobs: DataFrame, buckets: int) -> DataFrame:
     """For each chunk and bucket: bits of the edges, in order, that start in a document before the chunk's least, and their sources."""
 
     def run(key, table):
+        trim()
         edges, ids, sizes_ = [], [], []
         for x, number, held, wide in zip(*(_column(table, c) for c in ("edges", "number", "ids", "wide")), strict=True):
             edges.append(unplaned(x, np.uint64))

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
+
 #: Words in a shingle, similarity of a leak, words of slack around a diagonal, bits of SimHash radius, and most rows of item shingles that are broadcast.
 SHINGLE, SIMILARITY, SLACK, RADIUS, BROADCAST_ROWS = 5, 0.8, 2, 16, 500_000
 
@@ -76,7 +78,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, ra
         own = hashes.where(F.col("size") == size).select("item_id", "n", F.posexplode(hashed_shingles(F.col("h"), size)).alias("item_at", "shingle"))
         if own.count() <= BROADCAST_ROWS:
             own = F.broadcast(own)
-        found = rows.select("key", "doc_words", F.posexplode(hashed_shingles(F.col("h"), size)).alias("at", "shingle")).join(own, "shingle")
+        # The outer form: an inner one makes the optimizer filter by the array's size below the projections, which computes the word hashes anew for each shingle.
+        found = rows.select("key", "doc_words", F.posexplode_outer(hashed_shingles(F.col("h"), size)).alias("at", "shingle")).join(own, "shingle")
         found = found.select("key", "doc_words", "item_id", "n", "item_at", "at", F.lit(size).alias("size"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
@@ -89,18 +92,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, ra
     windows = shifted.select("key", "n", F.greatest(F.lit(0), F.least("start", F.col("doc_words") - F.col("n"))).alias("start")).distinct()
     per_row = windows.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     texts = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_row, "key")
-    cut = texts.select("key", "doc_id", words_of(F.col("text")).alias("w"), "windows").select("key", "doc_id", F.explode(F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("w", x["start"] + 1, x["n"]).alias("words")))).alias("x")).select("key", "doc_id", "x.*")
-    distinct = cut.select("n", "words").distinct().withColumn("fp", simhash(F.col("words")))
-    targets = items.withColumn("item_fp", simhash(F.col("item_words")))
-    targets = targets.select("item_id", "n", "item_words", "item_fp", F.explode(blocks_of(F.col("item_fp"), radius)).alias("b")).select("*", "b.*").drop("b")
+    cut = texts.select("key", "doc_id", words_of(F.col("text")).alias("w"), "windows").select("key", "doc_id", F.explode_outer(F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("w", x["start"] + 1, x["n"]).alias("words")))).alias("x")).select("key", "doc_id", "x.*")
+    cut = stored(cut, "windows")
+    # Costly arrays are made below a join, so that no filter or lambda above it computes them again.
+    distinct = cut.select("n", "words").distinct().select("n", "words", simhash(F.col("words")).alias("fp"), plain_shingles(F.col("words"), F.least("n", F.lit(SHINGLE), F.size("words"))).alias("a"))
+    targets = items.select("item_id", "n", simhash(F.col("item_words")).alias("item_fp"), plain_shingles(F.col("item_words"), F.least("n", F.lit(SHINGLE))).alias("b"))
+    targets = targets.select("item_id", "n", "item_fp", "b", F.explode_outer(blocks_of(F.col("item_fp"), radius)).alias("k")).select("item_id", "n", "item_fp", "b", "k.*")
     if items.count() * (radius + 1) <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
-    met = distinct.select("n", "words", "fp", F.explode(blocks_of(F.col("fp"), radius)).alias("b")).select("n", "words", "fp", "b.*").join(targets, ["n", "block", "value"])
-    close = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n", "words", "item_id", "item_words").distinct()
-    size = F.least("n", F.lit(SHINGLE), F.size("words"))
-    judged = close.withColumn("similarity", similarity(plain_shingles(F.col("words"), size), plain_shingles(F.col("item_words"), F.least("n", F.lit(SHINGLE))))).where(F.col("similarity") >= similar)
-    best = cut.join(judged.select("n", "words", "item_id", "similarity"), ["n", "words"])
-    return best.groupBy("key", "doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("x")).select("key", "doc_id", F.col("item_id").cast("long").alias("item_id"), "x.similarity", F.col("x.start").alias("start_word"), F.col("x.n").alias("n_words"))
+    met = distinct.select("n", "words", "fp", "a", F.explode_outer(blocks_of(F.col("fp"), radius)).alias("k")).select("n", "words", "fp", "a", "k.*").join(targets, ["n", "block", "value"])
+    close = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).dropDuplicates(["n", "words", "item_id"])
+    judged = close.select("n", "words", "item_id", similarity(F.col("a"), F.col("b")).alias("similarity"))
+    best = cut.join(judged, ["n", "words"]).groupBy("key", "doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("x"))
+    return best.where(F.col("x.similarity") >= similar).select("key", "doc_id", F.col("item_id").cast("long").alias("item_id"), "x.similarity", F.col("x.start").alias("start_word"), F.col("x.n").alias("n_words"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -67,8 +67,8 @@ def base_findings(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<value:string,gap:int,before:string,after:string>>")
     each = F.array(*[F.struct(F.lit(i).alias("kind"), F.when(MAY[k](text), _pieces(text, PATTERNS[k])).otherwise(none).alias("found")) for i, k in enumerate(KINDS)])
-    rows = docs.select(row_key().alias("key"), F.explode(each).alias("x")).where("size(x.found) > 0")
-    rows = rows.select("key", "x.kind", F.posexplode("x.found").alias("at", "y")).select("key", "kind", "at", "y.*").dropDuplicates(["key", "kind", "at"])
+    rows = docs.select(row_key().alias("key"), F.explode_outer(each).alias("x"))
+    rows = rows.select("key", "x.kind", F.posexplode_outer("x.found").alias("at", "y")).where("at is not null").select("key", "kind", "at", "y.*").dropDuplicates(["key", "kind", "at"])
     ends = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("key", "kind").orderBy("at"))
     valid = F.coalesce(*[F.when(F.col("kind") == i, VALID[k](F.col("value"))) for i, k in enumerate(KINDS)])
     return rows.withColumn("end", ends).where(valid).select("key", "kind", "value", (F.col("end") - F.length("value")).alias("start"), "end", "before", "after")
@@ -87,12 +87,12 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, t
     right = F.when(F.length("after") >= REACH, F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
     near = F.concat(F.slice(F.reverse(left), 1, NEAREST), F.slice(right, 1, NEAREST))
     contexts = base.select("key", "kind", _entity().alias("entity"), near.alias("near"))
-    met = contexts.select("key", "kind", "entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term"))
+    met = contexts.select("key", "kind", "entity", F.xxhash64("near").alias("context"), F.explode_outer(F.array_distinct("near")).alias("term")).where("term is not null")
     pairs = met.groupBy("term", "entity", "kind").agg(F.countDistinct("key").alias("n_te"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
     entities = contexts.groupBy("entity").agg(F.countDistinct("key").alias("n_e")).where(F.col("n_e") >= support)
     n = docs.select(row_key().alias("key")).agg(F.count_distinct("key").alias("n"))
     pairs = pairs.join(entities, "entity")
-    held = docs.select(F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    held = docs.select(F.explode_outer(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n_t"))
     rated = pairs.join(held, "term").crossJoin(F.broadcast(n))  # one row
     pmi, ic = F.log(F.col("n") * F.col("n_te") / (F.greatest("n_t", "n_te") * F.col("n_e"))), F.log(F.col("n") / F.col("n_e"))
     rated = rated.withColumn("disclosure", F.when(ic > 0, pmi / ic)).where(F.col("disclosure") >= threshold)
@@ -111,8 +111,8 @@ def findings(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHO
         return found
     flagged = F.broadcast(terms) if few <= BROADCAST_ROWS else terms
     text = F.coalesce(F.col("text"), F.lit(""))
-    held = docs.select(row_key().alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term")).join(flagged.select("term"), "term", "left_semi").select("key").distinct()
-    pieces = docs.withColumn("key", row_key()).join(held, "key", "left_semi").select("key", F.posexplode(F.transform(_pieces(text, TERM), lambda p: F.struct(p["value"].alias("value"), p["gap"].alias("gap")))).alias("at", "y")).select("key", "at", "y.*").dropDuplicates(["key", "at"])
+    held = docs.select(row_key().alias("key"), F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term")).join(flagged.select("term"), "term", "left_semi").select("key").distinct()
+    pieces = docs.withColumn("key", row_key()).join(held, "key", "left_semi").select("key", F.posexplode_outer(F.transform(_pieces(text, TERM), lambda p: F.struct(p["value"].alias("value"), p["gap"].alias("gap")))).alias("at", "y")).select("key", "at", "y.*").dropDuplicates(["key", "at"])
     placed = pieces.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("key").orderBy("at")))
     marked = placed.withColumn("term", F.lower("value")).join(flagged, "term").select("key", F.lit(4).alias("kind"), (F.col("end") - F.length("value")).alias("start"), "end", "disclosure", "reveals")
     inside = base.select(F.col("key").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, Rolling, mixed, slices, text_column, words
+from .common import BLANK, Rolling, bounded_batches, mixed, slices, text_column, words
 
 #: Byte classes of word shapes: capital, letter, digit; every other byte is its own class.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -77,6 +77,7 @@ def term_features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
 def feature_rows(docs: DataFrame, make, bits: int, keep: list[str]) -> DataFrame:
     """The columns in keep, and the text's features as int32 in a binary column."""
     kinds = dict(docs.dtypes)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -114,5 +115,6 @@ def scored(docs: DataFrame, make, bits: int, score, cut: float) -> DataFrame:
             total = np.concatenate(out) if out else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total, pa.float64()), pa.array((total >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     held = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 5) = 0"), F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import bucket_cuts, first_seen, packed, planes, sizes, unpack_docs, unplaned
-from .common import Rolling, slices, text_column
+from .common import Rolling, slices, text_column, trim
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 NOTE = "chunk int, kind int, bucket int, bits binary"
@@ -126,16 +126,18 @@ def _answered(kind: int):
     """For each chunk's hashes of a bucket, two bits: 0, the hash occurs once; 1, it repeats, in one context; 2, in several."""
 
     def run(key, table):
+        trim()
         hashes = [unplaned(x, np.uint64) for x in table.column("hashes").to_pylist()]
         lengths = list(map(len, hashes))
         often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("often").to_pylist(), lengths, strict=True)])
         one = np.concatenate([np.frombuffer(x, np.uint64) if x else np.ones(n, np.uint64) for x, n in zip(table.column("one").to_pylist(), lengths, strict=True)])
         distinct, first, number = first_seen(np.concatenate(hashes))
-        repeats = (np.bincount(number, minlength=len(distinct)) + np.bincount(number, often, minlength=len(distinct)))[number] > 1
-        differ = (one == 0) | (one != one[first][number])
-        several = np.bincount(number, differ, minlength=len(distinct))[number] > 0
-        code = np.where(repeats, 1 + several, 0)
-        bits = [_bits(x >> 1, x & 1) for x in np.split(code.astype(np.uint8), np.cumsum(lengths)[:-1])]
+        repeats = np.bincount(number, minlength=len(distinct)) > 1
+        repeats[number[often > 0]] = True
+        several = np.zeros(len(distinct), bool)
+        several[number[(one == 0) | (one != one[first][number])]] = True
+        code = np.where(repeats, 1 + several, 0).astype(np.uint8)[number]
+        bits = [_bits(x >> 1, x & 1) for x in np.split(code, np.cumsum(lengths)[:-1])]
         n = len(bits)
         return pa.table({"chunk": table.column("chunk"), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
 

@@ -13,8 +13,10 @@ and equal texts get equal scores; extra columns are left alone.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices, text_column
 from .features import labelled, scored, style_features
 
 #: Labelled rows that the fit may take, hash bits of features, weight of hinge losses, passes, cut of predicted.
@@ -96,3 +98,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score (the probability of label 1) and predicted."""
     return scored(docs, style_features, BITS, fit(docs, labels, label, most), cut)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, cut: float = CUT) -> DataFrame:
+    """The rows of docs that score the cut or more, with their columns."""
+    score = fit(docs, labels, label, most)
+
+    def run(batches):
+        for batch in batches:
+            keep = [score(*style_features(data, offsets, BITS), hi - lo) >= cut for lo, hi, data, offsets in slices(text_column(batch))]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)

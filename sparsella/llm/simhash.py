@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, group_starts, mixed, shared_dir, stored, text_column, whole_groups
+from .common import bounded_batches, components, group_starts, mixed, stored, text_column, whole_groups
 
 #: Reference fingerprints: the more, the fewer pairs reach the verification.
 PIVOTS = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -150,7 +150,7 @@ def near_links(nodes: DataFrame, radius: int = 2, blocks: int = 5) -> DataFrame:
 
 def near_components(docs: DataFrame, size: int = 3, radius: int = 2, blocks: int = 5) -> DataFrame:
     """doc_id, fp and component_id, the least doc_id that links of at most radius bits reach."""
-    shared_dir(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     fps = stored(fingerprints(docs, size), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
     found = components(near_links(nodes, radius, blocks))

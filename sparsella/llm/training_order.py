@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import chunk_of, text_bytes
-from .common import group_starts, mixed, text_column, whole_groups
+from .common import bounded_batches, gathered, group_starts, mixed, text_column, trim, whole_groups
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of the public byte-level vocabulary: its end mark, and the pattern that splits text before merges.
@@ -99,22 +99,21 @@ def _tokenised(docs: DataFrame, groups: int, parts: int, vocabulary: str) -> Dat
     def run(batches):
         tokenizer = Tokenizer(vocabulary)
         end = np.array([END], np.uint16).tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                some = batch.slice(lo, 4096)
-                ids = some.column(0).to_numpy()
-                at = chunk_of(ids, groups)
-                tokens = [tokenizer(t.decode()) + end for t in text_column(some).to_pylist()]
-                order = np.argsort(at, kind="stable")
-                cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
-                rows = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(at[r[0]]) for r in rows], pa.int32()), pa.array([_pack(ids[r], [tokens[i] for i in r.tolist()]) for r in rows], pa.binary())], ["grp", "tokens"])
+        for batch in gathered(batches):
+            ids = batch.column(0).to_numpy()
+            at = chunk_of(ids, groups)
+            tokens = [tokenizer(t.decode()) + end for t in text_column(batch).to_pylist()]
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            rows = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(at[r[0]]) for r in rows], pa.int32()), pa.array([_pack(ids[r], [tokens[i] for i in r.tolist()]) for r in rows], pa.binary())], ["grp", "tokens"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE))).alias("doc_id"), "text")
     return rows.mapInArrow(run, "grp int, tokens binary").repartition(parts, "grp")
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    trim()
     ids, tokens = [], []
     for blob in table.column("tokens").to_pylist():
         data = zstandard.ZstdDecompressor().decompress(blob)
@@ -135,6 +134,7 @@ def materialised(docs: DataFrame, key: int = 20240229, length: int = LENGTH, sha
     """One row a sequence, ordered by slot within its shard: the shard, row and byte offset to write it at, the documents that it
     holds (as doc_ids, in order) and its token ids as 16-bit little-endian numbers. n_tokens leaves out padding."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     size = text_bytes(docs)
     groups = max(1, math.ceil(size / GROUP_BYTES))
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(groups / 2))
