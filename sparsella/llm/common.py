@@ -134,18 +134,13 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of some texts, and for each text the index of its first word (one more at the end)."""
-    solid = np.zeros(len(data) + 1, bool)
-    np.logical_not(blank[data], out=solid[:-1])
-    before = np.zeros(len(data) + 1, bool)
-    before[1:] = solid[:-1]
-    before[offsets] = False  # a text begins: no word goes on
-    starts = np.flatnonzero(solid & ~before)
-    after = np.zeros(len(data) + 1, bool)
-    after[:-1] = solid[:-1]
-    follows = np.zeros(len(data) + 1, bool)
-    follows[:-1] = solid[1:]
-    follows[np.maximum(offsets[1:] - 1, 0)] = False
-    ends = np.flatnonzero(after & ~follows) + 1
+    solid = ~blank[data]
+    edge = np.zeros(len(data) + 1, bool)  # a text begins or ends here: no word goes on
+    edge[offsets] = True
+    begins, stops = solid & edge[:-1], solid & edge[1:]
+    begins[1:] |= solid[1:] & ~solid[:-1]
+    stops[:-1] |= solid[:-1] & ~solid[1:]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
