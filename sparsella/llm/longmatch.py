@@ -196,7 +196,7 @@ def _without_id(docs: DataFrame) -> DataFrame:
 
 def drop_long_matches(docs: DataFrame, length: int = 400, anchor: int = 256, chunk_bytes: int | None = None) -> DataFrame:
     """Documents without the bytes of strings of the given length that start anywhere else."""
-    chunks, parts, buckets = sizes(docs, 2.2 / (length - anchor), *([chunk_bytes] if chunk_bytes else []))
+    chunks, parts, buckets = sizes(docs, 2.2 / (length - anchor), chunk_bytes or 2 << 20)
     more = max(buckets, chunks // 4 + 1)
     base = packed(docs, chunks, parts)
 
