@@ -72,4 +72,12 @@ def op10_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_substring_dedup, op5_training_order, op6_toxicity, op7_decontamination, op8_simhash_near_dedup, op9_mixing, op10_long_matches)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents)"
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": f"WITH {_WORDS}, p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), "
+    "g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS q FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)), "
+    "m AS (SELECT q, MIN(doc_id) AS least FROM g GROUP BY q), h AS (SELECT doc_id, i FROM g JOIN m ON g.q = m.q WHERE least < doc_id), "
+    "r AS (SELECT DISTINCT doc_id, i + j AS i FROM h CROSS JOIN (SELECT unnest(range(0, 13)) AS j)), "
+    "k AS (SELECT p.doc_id, COUNT(r.i) AS gone, string_agg(CASE WHEN r.i IS NULL THEN word END, ' ' ORDER BY p.i) AS line FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i GROUP BY p.doc_id) "
+    "SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(line, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id",
+}
