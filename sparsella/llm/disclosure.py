@@ -59,7 +59,10 @@ def row_key() -> Column:
 def _pieces(text: Column, pattern: str) -> Column:
     """Matches of a pattern with the texts before and after each."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.transform(found, lambda m, i: F.struct(m.alias("value"), F.length(F.get(gaps, i)).alias("gap"), F.right(F.get(gaps, i), F.lit(REACH)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(REACH)).alias("after")))
+    # Zipped, so that each array is made once: inside a lambda it would be made anew for each match.
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("value"), g.alias("before")))
+    both = F.zip_with(pairs, F.slice(gaps, 2, 1 << 30), lambda p, after: F.struct(p["value"].alias("value"), F.length(p["before"]).alias("gap"), F.right(p["before"], F.lit(REACH)).alias("before"), F.left(after, F.lit(REACH)).alias("after")))
+    return F.filter(both, lambda x: x["value"].isNotNull())
 
 
 def base_findings(docs: DataFrame) -> DataFrame:
