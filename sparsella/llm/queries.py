@@ -73,6 +73,56 @@ def op10_long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_fingerprints, op4_substring_dedup, op5_training_order, op6_toxicity, op7_decontamination, op8_simhash_near_dedup, op9_mixing, op10_long_matches)}
 _WORDS = "w AS (SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS ws FROM documents)"
+
+def _runs(table: str, key: str) -> str:
+    """Lower-cased runs of letters and digits of a table's texts, as a list w."""
+    return f"SELECT {key}, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table}"
+
+
+_LEAKS = (
+    f"WITH d AS ({_runs('documents', 'doc_id')}), b AS ({_runs('benchmark', 'item_id')}), bn AS (SELECT item_id, w, len(w) AS n, LEAST(len(w), 5) AS k FROM b WHERE len(w) > 0), "
+    "bs AS (SELECT item_id, n, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS q FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM bn)), "
+    "ks AS (SELECT DISTINCT k FROM bn), ds AS (SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS q FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d CROSS JOIN ks WHERE len(w) >= k)), "
+    "c AS (SELECT doc_id, item_id, bs.n, bs.k FROM ds JOIN bs ON ds.q = bs.q AND ds.k = bs.k GROUP BY doc_id, item_id, bs.n, bs.k HAVING COUNT(DISTINCT bs.i) >= 0.8 * (bs.n - bs.k + 1)), "
+    "wn AS (SELECT c.doc_id, item_id, n, k, LEAST(n, len(w)) AS m, unnest(range(0, GREATEST(len(w) - n, 0) + 1)) AS s FROM c JOIN d ON d.doc_id = c.doc_id), "
+    "wc AS (SELECT wn.doc_id, item_id, s, q, COUNT(*) AS x FROM wn JOIN ds ON ds.doc_id = wn.doc_id AND ds.k = wn.k AND i BETWEEN s + 1 AND s + m - wn.k + 1 GROUP BY wn.doc_id, item_id, s, q), "
+    "bc AS (SELECT item_id, q, COUNT(*) AS y FROM bs GROUP BY item_id, q), "
+    "h AS (SELECT wc.doc_id, wc.item_id, s, SUM(LEAST(x, y)) AS z FROM wc JOIN bc ON bc.item_id = wc.item_id AND bc.q = wc.q GROUP BY wc.doc_id, wc.item_id, s), "
+    "j AS (SELECT h.doc_id, h.item_id, n, h.s, CAST(z AS DOUBLE) / (m - k + 1 + n - k + 1 - z) AS sim FROM h JOIN wn ON wn.doc_id = h.doc_id AND wn.item_id = h.item_id AND wn.s = h.s), "
+    "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, item_id ORDER BY sim DESC, s) AS o FROM j WHERE sim >= 0.8) "
+    "SELECT doc_id, item_id, sim AS similarity, CAST(s AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words FROM r WHERE o = 1"
+)
+
+
+_PLAIN = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9](?:[ -]?[0-9])+", r"\+[0-9][ ().0-9-]+[0-9]")
+_TERM = r"[\p{L}]{3,}"
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_PII = (
+    "WITH t AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents), "
+    + "a AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gs FROM t" for i, p in enumerate(_PLAIN))
+    + "), u AS (SELECT doc_id, kind, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM a), "
+    "p AS (SELECT doc_id, kind, i, ms[i] AS value, right(gs[i], 160) AS bef, left(gs[i + 1], 160) AS aft, SUM(length(gs[i]) + length(ms[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS en FROM u), "
+    f"f AS (SELECT *, en - length(value) AS st FROM p WHERE CASE kind WHEN 0 THEN TRUE WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right(x, 3) AS INTEGER) > 255)) = 0 "
+    f"WHEN 2 THEN length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER) ELSE (2 * CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER)) % 10 + CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER) // 5 END)) % 10 = 0 ELSE length({_DIGITS}) BETWEEN 8 AND 15 END), "
+    f"l AS (SELECT doc_id, CAST(kind AS VARCHAR) || ':' || CASE kind WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE {_DIGITS} END AS entity, regexp_extract_all(lower(bef), '{_TERM}') AS x, regexp_extract_all(lower(aft), '{_TERM}') AS y, length(bef) >= 160 AS cx, length(aft) >= 160 AS cy FROM f), "
+    "n AS (SELECT doc_id, entity, list_concat(list_slice(list_reverse(CASE WHEN cx THEN list_slice(x, 2, len(x)) ELSE x END), 1, 8), list_slice(CASE WHEN cy THEN list_slice(y, 1, len(y) - 1) ELSE y END, 1, 8)) AS near FROM l), "
+    "q AS (SELECT DISTINCT doc_id, entity, near, unnest(near) AS term FROM n), "
+    "r AS (SELECT term, entity, COUNT(DISTINCT doc_id) AS te, COUNT(DISTINCT near) AS cs FROM q GROUP BY term, entity HAVING COUNT(DISTINCT near) >= 3), "
+    "e AS (SELECT entity, COUNT(DISTINCT doc_id) AS ne FROM n GROUP BY entity HAVING COUNT(DISTINCT doc_id) >= 3), "
+    f"h AS (SELECT term, COUNT(*) AS nt FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM t) GROUP BY term), "
+    "c AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM t), "
+    "g AS (SELECT DISTINCT r.term FROM r JOIN e ON e.entity = r.entity JOIN h ON h.term = r.term CROSS JOIN c WHERE n > ne AND ln(n * te / (GREATEST(nt, te) * CAST(ne AS DOUBLE))) / ln(n / ne) >= 0.6), "
+    f"w AS (SELECT doc_id, regexp_extract_all(text, '{_TERM}') AS ms, string_split_regex(text, '{_TERM}') AS gs FROM t WHERE EXISTS (SELECT 1 FROM g)), "
+    "v AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM w), "
+    "z AS (SELECT doc_id, ms[i] AS value, SUM(length(gs[i]) + length(ms[i])) OVER (PARTITION BY doc_id ORDER BY i) AS en FROM v), "
+    "o AS (SELECT z.doc_id, 4 AS kind, en - length(value) AS st, en FROM z JOIN g ON g.term = lower(value)), "
+    "s AS (SELECT doc_id, kind, st, en FROM f UNION ALL SELECT doc_id, kind, st, en FROM o WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = o.doc_id AND o.st < f.en AND f.st < o.en)), "
+    "k AS (SELECT doc_id, COUNT(*) FILTER (kind = 0) AS n_email, COUNT(*) FILTER (kind = 1) AS n_ip, COUNT(*) FILTER (kind = 2) AS n_card, COUNT(*) FILTER (kind = 3) AS n_phone, "
+    "string_agg(CASE WHEN kind < 4 THEN list_extract(['email', 'ip', 'card', 'phone'], kind + 1) || ':' || st || ':' || en END, ',' ORDER BY kind, st) AS base, string_agg(list_extract(['email', 'ip', 'card', 'phone', 'term'], kind + 1) || ':' || st || ':' || en, ',' ORDER BY kind, st) AS spans FROM s GROUP BY doc_id) "
+    "SELECT t.doc_id, COALESCE(n_email, 0) AS n_email, COALESCE(n_ip, 0) AS n_ip, COALESCE(n_card, 0) AS n_card, COALESCE(n_phone, 0) AS n_phone, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM t LEFT JOIN k ON k.doc_id = t.doc_id"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": f"WITH {_WORDS}, p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), "
     "g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS q FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)), "
@@ -80,4 +130,6 @@ ORACLE_SQL: dict[str, str] = {
     "r AS (SELECT DISTINCT doc_id, i + j AS i FROM h CROSS JOIN (SELECT unnest(range(0, 13)) AS j)), "
     "k AS (SELECT p.doc_id, COUNT(r.i) AS gone, string_agg(CASE WHEN r.i IS NULL THEN word END, ' ' ORDER BY p.i) AS line FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i GROUP BY p.doc_id) "
     "SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(line, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id",
+    "op1_pii": _PII,
+    "op7_decontamination": _LEAKS,
 }
