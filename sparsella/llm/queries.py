@@ -123,6 +123,15 @@ _PII = (
     "SELECT t.doc_id, COALESCE(n_email, 0) AS n_email, COALESCE(n_ip, 0) AS n_ip, COALESCE(n_card, 0) AS n_card, COALESCE(n_phone, 0) AS n_phone, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans FROM t LEFT JOIN k ON k.doc_id = t.doc_id"
 )
 
+_LONG = (
+    "WITH t AS (SELECT doc_id, encode(COALESCE(text, '')) AS b, octet_length(encode(COALESCE(text, ''))) AS n FROM documents), "
+    "g AS (SELECT doc_id, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 399)) AS i FROM t WHERE n >= 400)), "
+    "c AS (SELECT h FROM g GROUP BY h HAVING COUNT(*) > 1), s AS (SELECT doc_id, i FROM g SEMI JOIN c ON g.h = c.h), "
+    "m AS (SELECT doc_id, i, SUM(f) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, CASE WHEN i <= LAG(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS f FROM s)), "
+    "r AS (SELECT doc_id, MIN(i) AS lo, MAX(i) + 400 AS hi FROM m GROUP BY doc_id, r), "
+    "p AS (SELECT doc_id, lo, hi, COALESCE(LAG(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS fr FROM r UNION ALL SELECT t.doc_id, t.n, t.n, COALESCE(MAX(hi), 0) FROM t LEFT JOIN r ON r.doc_id = t.doc_id GROUP BY t.doc_id, t.n) "
+    "SELECT t.doc_id, CAST(MAX(n) AS BIGINT) AS n_bytes, CAST(SUM(hi - lo) AS BIGINT) AS n_removed, COUNT(*) - 1 AS n_spans, sha256(unhex(string_agg(hex(CASE WHEN lo > fr THEN b[fr + 1:lo] ELSE encode('') END), '' ORDER BY fr, lo))) AS kept_sha256 FROM t JOIN p ON p.doc_id = t.doc_id GROUP BY t.doc_id"
+)
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": f"WITH {_WORDS}, p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w), "
     "g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS q FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)), "
@@ -131,5 +140,6 @@ ORACLE_SQL: dict[str, str] = {
     "k AS (SELECT p.doc_id, COUNT(r.i) AS gone, string_agg(CASE WHEN r.i IS NULL THEN word END, ' ' ORDER BY p.i) AS line FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.i = p.i GROUP BY p.doc_id) "
     "SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(line, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id",
     "op1_pii": _PII,
+    "op10_long_matches": _LONG,
     "op7_decontamination": _LEAKS,
 }
