@@ -141,3 +141,43 @@ def volcano(ranking: DataFrame, p_cut: float = 0.05, lfc_cut: float = 1.0, cap:
     p = F.least(F.when(F.col("pvals_adj") > 0, -F.log10("pvals_adj")).otherwise(F.lit(cap)), F.lit(cap))
     kind: Column = F.when((F.col("pvals_adj") < p_cut) & (F.col("logfoldchanges") >= lfc_cut), "up").when((F.col("pvals_adj") < p_cut) & (F.col("logfoldchanges") <= -lfc_cut), "down").otherwise("none")
     return ranking.withColumns({"neg_log10_p": p, "significance": kind})
+
+
+def qc_points(obs: DataFrame, keys: str | list[str], key: str = "cell_id", n: int | None = None, seed: int = 0, where: str | None = None) -> DataFrame:
+    """Columns of obs for violins or scatters, filtered by a SQL condition and sampled; a single name is one column."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if strange := [k for k in keys if k not in obs.columns]:
+        raise ValueError(f"obs has no columns {strange}")
+    rows = obs if where is None else obs.where(where)
+    rows = rows.select(key, *dict.fromkeys(keys))
+    return rows if n is None else sampled(rows, n, key, seed)
+
+
+def variability_points(var: DataFrame, flag: str = "highly_variable_genes", n_others: int | None = None, seed: int = 0) -> DataFrame:
+    """All genes that the flag chose, and the others or a sample of them."""
+    if flag not in var.columns:
+        raise ValueError(f"var has no column {flag}: run highly_variable_genes")
+    others = var.where(~F.coalesce(F.col(flag), F.lit(False)))
+    return var.where(F.col(flag)).unionByName(others if n_others is None else sampled(others, n_others, "gene_id", seed))
+
+
+def ranking_top(ranking: DataFrame, n: int = 20) -> DataFrame:
+    """The first n of each group's ranking."""
+    return ranking.where(F.col("rank") < n)
+
+
+def ranking_violin(x: DataFrame, obs: DataFrame, genes: DataFrame, groupby: str, group: str, reference: str = "rest", zero: DataFrame | None = None) -> DataFrame:
+    """side (in or ref), gene_id and value of the cells of a group and of its reference, absent entries filled."""
+    values = violin_values(x, obs, genes, groupby, zero)
+    side = F.when(F.col("label") == group, "in").when(F.lit(reference == "rest") | (F.col("label") == reference), "ref")
+    return values.withColumn("side", side).where("side is not null").select("side", "cell_id", "gene_id", "value")
+
+
+def stacked_violin(x: DataFrame, obs: DataFrame, genes: DataFrame, groupby: str, zero: DataFrame | None = None, allow_full: bool = False, most: int = 50_000_000) -> DataFrame:
+    """label, gene_id, median over the label's cells and the median's place in the gene's range, for color. Grids above `most` values need allow_full."""
+    if not allow_full and obs.count() * genes.count() > most:
+        raise ValueError("the grid is very large: pass allow_full=True or sample the cells")
+    medians = violin_values(x, obs, genes, groupby, zero).groupBy("label", "gene_id").agg(F.median("value").alias("median"), F.avg("value").alias("mean"))
+    gene = Window.partitionBy("gene_id")
+    low, high = F.min("mean").over(gene), F.max("mean").over(gene)
+    return medians.withColumn("color", F.when(high > low, (F.col("mean") - low) / (high - low)).otherwise(0.0))

@@ -546,3 +546,57 @@ def events_hourly(s, d):
 def events_matrix(s, d):
     return table(s, d, "events").groupBy(F.col("user_id").alias("cell_id"), F.col("event_type").alias("gene")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))
 
+
+@query(f"WITH {X}, q AS (SELECT cell_id, SUM(v) AS total, COUNT(*) AS nnz FROM x GROUP BY cell_id) SELECT c_custkey AS cell_id, total, nnz FROM customer JOIN q ON cell_id = c_custkey WHERE c_nationkey < 10 ORDER BY (c_custkey * 1103515245 + 3) % 2147483648, c_custkey LIMIT 200")
+def qc_points(s, d):
+    stats = obs_of(s, d).join(qc.cell_stats(x_of(s, d)), "cell_id")
+    return plotdata.qc_points(stats, ["total", "nnz"], n=200, seed=3, where="c_nationkey < 10")
+
+
+@query(_GRID.replace("LIMIT 30", "LIMIT 4") + f", vv AS (SELECT c_mktsegment AS label, g30.gene_id, COALESCE(v, 0) AS value FROM customer CROSS JOIN g30 LEFT JOIN l ON l.cell_id = c_custkey AND l.gene_id = g30.gene_id), md AS (SELECT label, gene_id, median(value) AS med, AVG(value) AS mn FROM vv GROUP BY label, gene_id) SELECT label, gene_id, {r6('med')} AS median, {r6('mn')} AS mean, {r6('CASE WHEN MAX(mn) OVER (PARTITION BY gene_id) > MIN(mn) OVER (PARTITION BY gene_id) THEN (mn - MIN(mn) OVER (PARTITION BY gene_id)) / (MAX(mn) OVER (PARTITION BY gene_id) - MIN(mn) OVER (PARTITION BY gene_id)) ELSE 0 END')} AS color FROM md")
+def stacked_violin(s, d):
+    return rounded(plotdata.stacked_violin(log_of(s, d), obs_of(s, d), _top_genes(x_of(s, d), 4), "c_mktsegment"), "median", "mean", "color")
+
+
+@query(_GRID.replace("LIMIT 30", "LIMIT 3") + f"SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'in' ELSE 'ref' END AS side, c_custkey AS cell_id, g30.gene_id, {r6('COALESCE(v, 0)')} AS value FROM customer CROSS JOIN g30 LEFT JOIN l ON l.cell_id = c_custkey AND l.gene_id = g30.gene_id WHERE c_mktsegment IS NOT NULL")
+def ranking_violin(s, d):
+    return rounded(plotdata.ranking_violin(log_of(s, d), obs_of(s, d), _top_genes(x_of(s, d), 3), "c_mktsegment", "MACHINERY"), "value")
+
+
+@query("SELECT vec_id AS cell_id, CAST(embedding[1] AS DOUBLE) AS dim_0, c_mktsegment, COALESCE(v, 0) AS gene_1 FROM embeddings JOIN customer ON c_custkey = vec_id LEFT JOIN (SELECT o_custkey, SUM(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 1 GROUP BY o_custkey) ON o_custkey = vec_id")
+def embedding_colors(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.get("embedding", F.lit(0)).cast("double").alias("dim_0"))
+    obs = obs_of(s, d).select("cell_id", "c_mktsegment")
+    return plotdata.embedding_points(e.join(obs.select("cell_id"), "cell_id"), obs, ["c_mktsegment", "gene_1"], x_of(s, d), {"gene_1": 1})
+
+
+@query(f"WITH {X} SELECT {r6('quantile_cont(v, 0.01)')} AS low, {r6('quantile_cont(v, 0.99)')} AS high FROM x")
+def robust_range(s, d):
+    return rounded(plotdata.robust_range(x_of(s, d), "v"), "low", "high")
+
+
+@query(f"WITH {X}, b AS (SELECT c_custkey AS cell_id, x.gene_id, x.v FROM customer JOIN x ON x.cell_id = c_custkey WHERE c_custkey IN (5, 17, 42)) SELECT cell_id, gene_id, v FROM b")
+def subset_matrix(s, d):
+    order = matrix.by_ids(obs_of(s, d).select("cell_id"), [42, 5, 17], "cell_id")
+    return x_of(s, d).join(F.broadcast(order), "cell_id").select("cell_id", "gene_id", "v")
+
+
+@query(f"WITH {X}, k AS (SELECT cell_id, gene_id, v FROM x WHERE cell_id < 5000) SELECT COALESCE(MAX(v) > 50 OR quantile_cont(v, 0.95) > 10, FALSE) AS is_count FROM k WHERE v <> 0")
+def scale_detection(s, d):
+    from ..sources.readers import is_count_scale
+
+    return s.createDataFrame([(bool(is_count_scale(x_of(s, d))),)], "is_count boolean")
+
+
+@query(f"WITH {L} SELECT cell_id, gene_id, {r6('GREATEST(exp(v) - 1, 0)')} AS v FROM l")
+def log_to_counts(s, d):
+    from ..sources.readers import to_counts
+
+    return rounded(to_counts(log_of(s, d)), "v")
+
+
+@query(f"WITH {L}, w AS (SELECT c_custkey, c_mktsegment FROM customer), k AS (SELECT c_mktsegment AS label, CAST(COUNT(*) AS DOUBLE) AS n FROM w GROUP BY c_mktsegment) SELECT label, COUNT(*) AS stored, {r6('SUM(v) / MAX(n)')} AS per_cell FROM l JOIN w ON cell_id = c_custkey JOIN k ON label = c_mktsegment GROUP BY label")
+def group_totals(s, d):
+    sizes = ranking.group_sizes(obs_of(s, d), "c_mktsegment")
+    sums = ranking.group_sums(log_of(s, d), obs_of(s, d), "c_mktsegment").groupBy("group").agg(F.sum("nz").alias("stored"), F.sum("s").alias("s"))
+    return rounded(sums.join(sizes, "group").select(F.col("group").alias("label"), "stored", (F.col("s") / F.col("n")).alias("per_cell")), "per_cell")
