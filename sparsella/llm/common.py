@@ -31,6 +31,16 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of keys that are broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def few(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """df (keys and small columns), stored, and to be broadcast if it turns out to have at most `most` rows; beyond, Spark joins by shuffle."""
+    df = stored(df, "few")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 #: Rows in an Arrow batch of whole texts, and bytes of text that a packer gathers before it deals them out.
 BATCH_ROWS, GATHERED = 1000, 12 << 20
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import few, stored
 
 #: Words in a shingle, similarity of a leak, words of slack around a diagonal, bits of SimHash radius, and most rows of item shingles that are broadcast.
 SHINGLE, SIMILARITY, SLACK, RADIUS, BROADCAST_ROWS = 5, 0.8, 2, 16, 500_000
@@ -109,5 +109,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, ra
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs that hold no item, with their columns."""
-    found = leaks(docs, benchmark, **how).select(F.col("key").alias("leaked_key")).distinct()
+    found = few(leaks(docs, benchmark, **how).select(F.col("key").alias("leaked_key")).distinct())
     return docs.join(found, row_key() == F.col("leaked_key"), "left_anti")
