@@ -59,6 +59,6 @@ def seurat(x: DataFrame, var: DataFrame, n_cells: int, n_bins: int = 20, n_top_g
         value = F.coalesce("dispersions_norm", F.lit(0.0))
         within = (F.col("means") > min_mean) & (F.col("means") < max_mean) & (value > min_disp) & (value < F.lit(float(max_disp)))
         return rows.withColumn("highly_variable_rank", F.lit(None).cast("long")).withColumn("highly_variable_genes", within)
-    rank = F.row_number().over(Window.orderBy(F.col("dispersions_norm").desc_nulls_last(), "gene_id")) - 1  # one row a gene
+    rank = F.row_number().over(Window.orderBy(F.round("dispersions_norm", 9).desc_nulls_last(), "gene_id")) - 1  # one row a gene; rounded, so that equal ones tie
     rows = rows.withColumn("highly_variable_rank", F.when(F.col("dispersions_norm").isNotNull(), rank.cast("long")))
     return rows.withColumn("highly_variable_genes", F.coalesce(F.col("highly_variable_rank") < n_top_genes, F.lit(False)))

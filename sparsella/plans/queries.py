@@ -191,7 +191,7 @@ _SEURAT = (
 )
 
 
-@query(_SEURAT + f", r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY norm DESC NULLS LAST, gene_id) - 1 AS rk FROM dn) SELECT gene_id, {r6('means')} AS means, {r6('dispersions')} AS dispersions, {r6('norm')} AS dispersions_norm, CASE WHEN norm IS NOT NULL THEN rk END AS highly_variable_rank, norm IS NOT NULL AND rk < 200 AS highly_variable_genes FROM r")
+@query(_SEURAT + f", r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY ROUND(norm, 9) DESC NULLS LAST, gene_id) - 1 AS rk FROM dn) SELECT gene_id, {r6('means')} AS means, {r6('dispersions')} AS dispersions, {r6('norm')} AS dispersions_norm, CASE WHEN norm IS NOT NULL THEN rk END AS highly_variable_rank, norm IS NOT NULL AND rk < 200 AS highly_variable_genes FROM r")
 def hvg_seurat_topn(s, d):
     out = hvg.seurat(log_of(s, d), var_of(s, d), obs_of(s, d).count(), n_top_genes=200)
     return rounded(out, "means", "dispersions", "dispersions_norm")
