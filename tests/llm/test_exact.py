@@ -248,3 +248,27 @@ def test_extra_columns_survive(docs, spark):
     assert decontaminate.without_leaks(docs, bench).count() == docs.count()
     assert disclosure.sanitised(docs).columns == docs.columns
     assert docs.where(F.col("doc_id").isNull()).count() == 2
+
+
+def template_texts(others, pairs, share):
+    """Texts of 104 words that share their first words; of each pair, the second has the first's last words changed (Jaccard 0.82)."""
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    template = fresh(share + 4)
+    out = [template + fresh(100 - share) for _ in range(others + pairs)]
+    out += [x[:-10] + fresh(10) for x in out[:pairs]]
+    return [" ".join(x) for x in out]
+
+
+def grouped(spark, texts):
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    parts = collections.defaultdict(set)
+    for x in found:
+        parts[x.group].add(x.doc_id)
+    return {frozenset(x) for x in parts.values()}
+
+
+def test_near_duplicates_among_texts_of_one_template(spark):
+    """A pair is found although unlike texts with nearer SimHashes stand between its members."""
+    want = {frozenset({i, 340 + i}) for i in range(40)} | {frozenset({i}) for i in range(40, 340)}
+    assert grouped(spark, template_texts(300, 40, 74)) == want
