@@ -272,3 +272,11 @@ def test_near_duplicates_among_texts_of_one_template(spark):
     """A pair is found although unlike texts with nearer SimHashes stand between its members."""
     want = {frozenset({i, 340 + i}) for i in range(40)} | {frozenset({i}) for i in range(40, 340)}
     assert grouped(spark, template_texts(300, 40, 74)) == want
+
+
+def test_near_duplicates_in_an_oversized_bucket(spark, monkeypatch):
+    """A bucket above BUCKET loses no pair, in tiles of several rows a side."""
+    monkeypatch.setattr(neardup, "BUCKET", 16)
+    monkeypatch.setattr(neardup, "TILE_ROWS", 50, raising=False)
+    want = {frozenset({i, 220 + i}) for i in range(20)} | {frozenset({i}) for i in range(20, 220)}
+    assert grouped(spark, template_texts(200, 20, 86)) == want
