@@ -280,3 +280,17 @@ def test_near_duplicates_in_an_oversized_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE_ROWS", 50, raising=False)
     want = {frozenset({i, 220 + i}) for i in range(20)} | {frozenset({i}) for i in range(20, 220)}
     assert grouped(spark, template_texts(200, 20, 86)) == want
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    """Repeats change neither the sets nor what is found: a line once, and the same line 30 times."""
+    r = random.Random(12)
+    fresh = lambda n: " ".join(f"w{r.getrandbits(40)}" for _ in range(n))
+    texts = []
+    for _ in range(20):
+        body, line = fresh(100), fresh(9)
+        texts += [f"{body} {line}", " ".join([body] + [line] * 30)]
+    assert grouped(spark, texts) == {frozenset({i, i + 1}) for i in range(0, 40, 2)}
+    # One SimHash for a class of equal sets.
+    same = spark.createDataFrame([(0, "a b c d e a b c d e"), (1, "a b c d e a b c d e a b c d e a b c d e")], "doc_id long, text string")
+    assert len({(x.set_id, x.fp) for x in neardup.sketches(same).collect()}) == 1
