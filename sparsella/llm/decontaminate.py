@@ -1,14 +1,15 @@
 """Benchmark decontamination: DataFrame functions only.
 
 Words are lower-cased runs of letters and digits; shingles are five of them (an item of fewer is one
-shingle). A document and an item that share most of the item's shingles give item-sized windows, on
-the shared shingles' diagonals and SLACK words to either side. Each distinct window gets a 64-bit
+shingle). A document and an item that share most of the item's shingles give item-sized windows, at
+every start whose window holds enough of the item's shingles, in any order. Each distinct window gets a 64-bit
 SimHash of its words; RADIUS + 1 blocks of it are matched with the items' blocks, which finds every
 item of that size within RADIUS bits; survivors are verified by the exact weighted (multiset)
 similarity of their shingles.
 
 Losslessness of the first step: a window whose similarity to an item of m shingles is at least s
-holds at least s * m of them, so a document in which fewer places of the item are hit has none.
+holds at least s * m of them, so a document in which fewer places of the item are hit has none; a
+window that has m shingles itself holds at least 2 * s / (1 + s) * m.
 
 Defined results: null and empty texts and items have no windows; a text shorter than an item is one
 window; rows with equal doc_id and text give the same rows once; a null doc_id is a row of its own by
@@ -19,12 +20,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import few, stored
 
-#: Words in a shingle, similarity of a leak, words of slack around a diagonal, bits of SimHash radius, and most rows of item shingles that are broadcast.
-SHINGLE, SIMILARITY, SLACK, RADIUS, BROADCAST_ROWS = 5, 0.8, 2, 16, 500_000
+#: Words in a shingle, similarity of a leak, bits of SimHash radius, and most rows of item shingles that are broadcast.
+SHINGLE, SIMILARITY, RADIUS, BROADCAST_ROWS = 5, 0.8, 16, 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -84,12 +84,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, ra
         hits = found if hits is None else hits.union(found)
     if hits is None:
         return docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words")).limit(0)
-    # Starts are counted with how many distinct places of the item they hit: one row for each diagonal, not for each hit.
-    diagonals = hits.groupBy("key", "doc_words", "item_id", "n", "size", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.countDistinct("item_at").alias("places"))
-    enough = F.sum("places").over(Window.partitionBy("key", "item_id", "n"))
-    starts = diagonals.withColumn("all_places", enough).where(F.col("all_places") >= F.lit(similar) * (F.col("n") - F.col("size") + 1))
-    shifted = starts.select("key", "item_id", "n", "doc_words", F.explode(F.transform(F.sequence(F.lit(-SLACK), F.lit(SLACK)), lambda d: d + F.col("diagonal"))).alias("start"))
-    windows = shifted.select("key", "n", F.greatest(F.lit(0), F.least("start", F.col("doc_words") - F.col("n"))).alias("start")).distinct()
+    # A window of as many shingles as the item has needs 2s / (1 + s) of them at the similarity s. It holds that many hit places if, from its first on, the last of them is in it too: the starts between are those of one stretch of hits.
+    places = hits.groupBy("key", "doc_words", "item_id", "n", "size").agg(F.collect_set("item_at").alias("items_at"), F.collect_set("at").alias("at"))
+    enough = places.withColumn("m", F.col("n") - F.col("size") + 1).where(F.size("items_at") >= F.lit(similar) * F.col("m"))
+    stretches = enough.withColumn("need", F.ceil(F.lit(2 * similar / (1 + similar)) * F.col("m") - 1e-9).cast("int")).select("key", "n", "doc_words", "m", "need", F.array_sort("at").alias("at"))
+    # Made below the explode, so that no lambda sorts the places again. A text shorter than the item is one window.
+    first = stretches.select("key", "n", "doc_words", "m", F.explode_outer(F.arrays_zip(F.col("at").alias("lo"), F.expr("slice(at, need, greatest(size(at) - need + 1, 0))").alias("hi"))).alias("x")).select("key", "n", "doc_words", "m", "x.*")
+    short = F.col("doc_words") < F.col("n")
+    spans = first.where(short | F.col("hi").isNotNull()).select("key", "n", F.when(short, 0).otherwise(F.greatest(F.col("hi") - F.col("m") + 1, F.lit(0))).alias("from"), F.when(short, 0).otherwise(F.least("lo", F.col("doc_words") - F.col("n"))).alias("to")).where("from <= to")
+    windows = spans.select("key", "n", F.explode(F.sequence("from", "to")).alias("start")).distinct()
     per_row = windows.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
     texts = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_row, "key")
     cut = texts.select("key", "doc_id", words_of(F.col("text")).alias("w"), "windows").select("key", "doc_id", F.explode_outer(F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("w", x["start"] + 1, x["n"]).alias("words")))).alias("x")).select("key", "doc_id", "x.*")

@@ -294,3 +294,14 @@ def test_near_duplicates_with_repeated_lines(spark):
     # One SimHash for a class of equal sets.
     same = spark.createDataFrame([(0, "a b c d e a b c d e"), (1, "a b c d e a b c d e a b c d e a b c d e")], "doc_id long, text string")
     assert len({(x.set_id, x.fp) for x in neardup.sketches(same).collect()}) == 1
+
+
+def test_leaks_with_their_halves_swapped(spark):
+    """A window between the diagonals of its parts is made, as the SQL makes it."""
+    fresh = lambda c, n: [f"{c}{i}x" for i in range(n)]
+    item = fresh("i", 60)
+    table = [(1, fresh("a", 60) + item[30:] + item[:30] + fresh("b", 60)), (2, fresh("c", 33) + item[20:40] + fresh("d", 90)), (3, item[30:] + item[:30]), (4, item[1:])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in table], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: (x.similarity, x.start_word) for x in decontaminate.leaks(docs, bench).collect()}
+    assert got == {1: (pytest.approx(52 / 60), 60), 3: (pytest.approx(52 / 60), 0), 4: (pytest.approx(55 / 56), 0)}
