@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, gathered, mixed, text_column, trim
 
 #: Bytes of text in a chunk, and entries in a bucket of hashes, on average.
-CHUNK_BYTES, BUCKET_ENTRIES = 4 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_ENTRIES = 4 << 20, 1 << 19
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -62,13 +62,17 @@ def unpack_docs(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return all_ids[order], [texts[i] for i in order]
 
 
-def packed(docs: DataFrame, chunks: int, parts: int) -> DataFrame:
-    """chunk, docs (binary): the rows that have a doc_id, by chunk."""
+#: Stands for a null doc_id where rows without one are packed too.
+NO_ID = np.iinfo(np.int64).min
+
+
+def packed(docs: DataFrame, chunks: int, parts: int, by_id: bool = True) -> DataFrame:
+    """chunk, docs (binary): by_id, the rows that have a doc_id, in the chunk of their doc_id; else all rows (NO_ID for a null doc_id), by doc_id and text, so that one doc_id on many rows fills no chunk."""
 
     def run(batches):
         for batch in gathered(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts, chunk = text_column(batch).to_pylist(), chunk_of(ids, chunks)
+            texts, chunk = text_column(batch).to_pylist(), batch.column(2).to_numpy() if batch.num_columns > 2 else chunk_of(ids, chunks)
             order = np.argsort(chunk, kind="stable")
             cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
             at, blobs = [], []
@@ -79,21 +83,29 @@ def packed(docs: DataFrame, chunks: int, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "docs"])
 
     bounded_batches(docs.sparkSession)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.where("doc_id is not null").select(doc_id.alias("doc_id"), "text") if by_id else docs.select(F.coalesce(doc_id, F.lit(int(NO_ID))).alias("doc_id"), "text", F.pmod(F.xxhash64(doc_id, "text"), F.lit(chunks)).cast("int").alias("chunk"))
     return rows.mapInArrow(run, "chunk int, docs binary").repartition(parts, "chunk")
 
 
 def sizes(docs: DataFrame, entries_per_byte: float, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int, int]:
-    """Chunks, partitions and buckets for these texts."""
+    """Chunks, partitions and buckets (a power of two) for these texts."""
     n = text_bytes(docs)
     chunks = max(1, math.ceil(n / chunk_bytes))
-    return chunks, max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chunks / 2)), max(1, math.ceil(n * entries_per_byte / BUCKET_ENTRIES))
+    return chunks, max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chunks / 2)), 1 << max(0, math.ceil(math.log2(max(1, n * entries_per_byte / BUCKET_ENTRIES))))
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The top bits of hashes; buckets is a power of two."""
+    bits = buckets.bit_length() - 1
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of hashes begins in sorted hashes, and the end."""
-    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(sorted_hashes, bounds, "left"), [len(sorted_hashes)]))
+def bucket_runs(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of the buckets that hold any of the sorted hashes: as many steps as hashes, however many buckets there are."""
+    mine = bucket_of(sorted_hashes, buckets)
+    begin = np.flatnonzero(np.diff(mine, prepend=-1))
+    return list(zip(mine[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(mine)][: len(begin)], strict=True))
 
 
 def first_seen(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

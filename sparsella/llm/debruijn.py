@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import bucket_cuts, chunk_of, first_seen, pack_docs, packed, planes, sizes, unpack_docs, unplaned
+from .chunks import bucket_runs, chunk_of, first_seen, pack_docs, packed, planes, sizes, unpack_docs, unplaned
 from .common import Rolling, slices, text_column, trim, words
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -63,12 +63,11 @@ def edge_blobs(base: DataFrame, k: int, buckets: int) -> DataFrame:
 
     def run(key, table):
         e = Edges(_column(table, "docs"), k)
-        cuts = bucket_cuts(e.distinct, buckets)
         rows = []
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            held, number = np.unique(e.least[cuts[b] : cuts[b + 1]], return_inverse=True)
+        for b, lo, hi in bucket_runs(e.distinct, buckets):
+            held, number = np.unique(e.least[lo:hi], return_inverse=True)
             short = np.uint16 if len(held) < 1 << 16 else np.uint32
-            rows.append((b, key[0].as_py(), planes(e.distinct[cuts[b] : cuts[b + 1]]), number.astype(short).tobytes(), planes(np.diff(held, prepend=0)), short().itemsize))
+            rows.append((b, key[0].as_py(), planes(e.distinct[lo:hi]), number.astype(short).tobytes(), planes(np.diff(held, prepend=0)), short().itemsize))
         return pa.table(dict(zip(("bucket", "chunk", "edges", "number", "ids", "wide"), map(list, zip(*rows, strict=True)) if rows else [[]] * 6, strict=True)), schema=pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("edges", pa.binary()), ("number", pa.binary()), ("ids", pa.binary()), ("wide", pa.int32())]))
 
     return base.groupBy("chunk").applyInArrow(run, "bucket int, chunk int, edges binary, number binary, ids binary, wide int")
@@ -101,10 +100,10 @@ def edge_sources(blobs: DataFrame, buckets: int) -> DataFrame:
 
 def _marked(e: Edges, notes: pa.Table, buckets: int) -> np.ndarray:
     """For each window of a chunk the least doc_id that holds its edge."""
-    cuts, least = bucket_cuts(e.distinct, buckets), e.least.copy()
+    runs, least = {b: (lo, hi) for b, lo, hi in bucket_runs(e.distinct, buckets)}, e.least.copy()
     for kind, b, bits, source in zip(*(_column(notes, c) for c in ("kind", "bucket", "bits", "source")), strict=True):
         if kind == 0:
-            lo, hi = cuts[b], cuts[b + 1]
+            lo, hi = runs[b]
             least[lo + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo))] = unplaned(source, np.int64)
     return least[e.number]
 

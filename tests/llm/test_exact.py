@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparsella.llm import cdc, common, debruijn, decontaminate, disclosure, longmatch, neardup, simhash
+from sparsella.llm import cdc, common, debruijn, decontaminate, disclosure, longmatch, neardup, rindex, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key long, chunk int"
 
@@ -82,24 +82,40 @@ def test_colliding_edges_are_not_removed(docs, spark):
 
 def test_long_matches(docs, rows):
     n = collections.Counter()
-    for i, t in rows:
+    for _, t in rows:
         b = (t or "").encode()
-        for j in range(len(b) - 39 if i is not None else 0):
+        for j in range(len(b) - 39):
             n[b[j : j + 40]] += 1
     want = collections.Counter()
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
-        for j in range(len(b) - 39 if i is not None else 0):
+        for j in range(len(b) - 39):
             if n[b[j : j + 40]] > 1:
                 gone[j : j + 40] = True
         spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         want[(i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
-    for size in (1 << 22, 700):
-        assert counted(longmatch.drop_long_matches(docs, 40, 24, chunk_bytes=size).drop("kept")) == want
+    for size, hot, index_bytes in ((1 << 22, longmatch.HOT, 1 << 21), (700, longmatch.HOT, 300), (700, 0, 300), (700, 2, 300)):
+        assert counted(longmatch.drop_long_matches(docs, 40, 20, chunk_bytes=size, hot=hot, index_bytes=index_bytes).drop("kept")) == want
     assert longmatch.drop_long_matches(docs.limit(0)).count() == 0
 
 
+def test_run_index():
+    """Suffix order, runs and matching statistics against a plain sort and plain comparisons."""
+    r = random.Random(1)
+    for _ in range(60):
+        letters = [bytes([r.choice([0, 1, 65, 66, 200, 255])]) for _ in range(r.choice([1, 2, 3, 200]))]
+        base = b"".join(r.choice(letters) for _ in range(60))
+        texts = [base[(a := r.randint(0, 50)) : a + r.randint(0, 60)] + b"".join(r.choice(letters) for _ in range(r.randint(0, 9))) for _ in range(r.randint(0, 8))]
+        index = rindex.RunIndex(texts)
+        rest = [(t[j:], i) for i, t in enumerate(texts) for j in range(len(t))]
+        assert index.order.tolist() == sorted(range(len(rest)), key=lambda p: ([c + 1 for c in rest[p][0]] + [0], rest[p][1]))
+        before = [None if p in index.starts[:-1] and len(rest[p][0]) == len(texts[rest[p][1]]) else index.data[p - 1] for p in index.order.tolist()]
+        assert index.heads.tolist() == [i for i, x in enumerate(before) if not i or x is None or x != before[i - 1]]
+        shared = lambda x, y: next((n for n, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+        assert index.matching_statistics().tolist() == [max((shared(x, y) for q, (y, _) in enumerate(rest) if q != p), default=0) for p, (x, _) in enumerate(rest)]
+
+
 def brute_fp(t, k=3):
     w = (t or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
