@@ -203,19 +203,20 @@ def indexed_contexts(length: int, index_bytes: int):
         gram, flag, chunk = np.concatenate(hashes), np.concatenate(asked), np.repeat(np.arange(len(own)), list(map(len, own)))
         flat = [t for x in own for t in x]
         sizes_, order = np.fromiter(map(len, flat), np.int64, len(flat)), np.argsort(gram, kind="stable")
+        begin = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
+        order = order[np.repeat(np.logical_or.reduceat(flag[order], begin), np.diff(np.append(begin, len(order))))]  # anchors of which a context is asked for
         out: list[list[np.ndarray]] = [[] for _ in own]
         found: dict[int, np.ndarray] = {}
-        ends = np.flatnonzero(np.append(gram[order][1:] != gram[order][:-1], True)) + 1  # of the contexts of each anchor
+        ends = np.flatnonzero(np.append(gram[order][1:] != gram[order][:-1], True)[: len(order)]) + 1  # of the contexts of each anchor
         total, lo = np.concatenate(([0], np.cumsum(sizes_[order]))), 0
         while lo < len(order):
             hi = int(ends[max(np.searchsorted(total[ends], total[lo] + index_bytes, "right") - 1, np.searchsorted(ends, lo, "right"))])
             mine = order[lo:hi]
-            if flag[mine].any():
-                index = RunIndex([flat[i] for i in mine.tolist()])
-                far = index.matching_statistics() >= length
-                for i, s in zip(mine.tolist(), index.starts.tolist(), strict=False):
-                    if flag[i]:
-                        found[i] = far[s : s + len(flat[i]) - length + 1]
+            index = RunIndex([flat[i] for i in mine.tolist()])
+            far = index.matching_statistics(length) >= length
+            for i, s in zip(mine.tolist(), index.starts.tolist(), strict=False):
+                if flag[i]:
+                    found[i] = far[s : s + len(flat[i]) - length + 1]
             lo = hi
         for i in np.flatnonzero(flag).tolist():
             out[chunk[i]].append(found[i])

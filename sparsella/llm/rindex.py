@@ -30,36 +30,35 @@ class RunIndex:
 
     def _sort(self) -> None:
         """Suffix order, and of each doubling the place in it where a position's class of equal prefixes begins."""
-        n = len(self.data)
-        left = self.ends - np.arange(n, dtype=np.int32)
-        key, padded = np.zeros(n, np.uint64), np.concatenate((self.data, np.zeros(FIRST, np.uint8)))
-        for i in range(FIRST):
-            key = key << np.uint64(8) | np.where(i < left, padded[i : i + n], 0).astype(np.uint64)
-        key = key << np.uint64(8) | np.minimum(left, FIRST).astype(np.uint64)
-        self.order = np.argsort(key).astype(np.int32)
-        key = key[self.order]
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if n else np.empty(0, np.int64)
-        rank = np.empty(n, np.int32)
-        rank[self.order] = np.repeat(head, np.diff(np.append(head, n)))
-        self.ranks, h, texts = [(FIRST, rank)], FIRST, len(self.starts)
-        active = np.flatnonzero(np.repeat(np.diff(np.append(head, n)) > 1, np.diff(np.append(head, n))))
-        while len(active):
-            at = self.order[active]
-            on = at + h
-            inside = on < self.ends[at]
-            second = np.where(inside, texts + rank[np.where(inside, on, 0)].astype(np.int64), self.of[at])
-            key = rank[at].astype(np.int64) * (n + texts + 1) + second
+        n, texts = len(self.data), len(self.starts)
+        left = np.minimum(self.ends - np.arange(n, dtype=np.int32), FIRST)
+        key = np.concatenate((self.data, np.zeros(8, np.uint8))).astype(np.uint64)
+        for h in (1, 2, 4):
+            key = key[:-h] << np.uint64(8 * h) | key[h:]
+        within = np.array([(1 << 64) - (1 << 64 - 8 * i) for i in range(FIRST + 1)], np.uint64)
+        key = key[:n] & within[left] | left.astype(np.uint64)
+        at = np.argsort(key).astype(np.int32)
+        self.order = at.copy()
+        rank, active, base, self.ranks, h = np.empty(n, np.int32), np.arange(n, dtype=np.int32), None, [], FIRST
+        key = key[at]
+        while len(at):
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(begin, len(at)))
+            base = np.repeat(active[begin], size)
+            rank = rank.copy()
+            rank[at] = base
+            self.ranks.append((h, rank))
+            again = np.repeat(size > 1, size)
+            at, active, base = at[again], active[again], base[again]
+            on = at + np.int32(h)
+            second = rank[np.minimum(on, n - 1)].astype(np.int64) + texts
+            out = np.flatnonzero(on >= self.ends[at])
+            second[out] = self.of[at[out]]
+            key = base.astype(np.int64) * (n + texts + 1) + second
             by = np.argsort(key)
             at, key = at[by], key[by]
             self.order[active] = at
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(at)))
-            rank = rank.copy()
-            rank[at] = np.repeat(active[begin], size)
             h *= 2
-            self.ranks.append((h, rank))
-            active = active[np.repeat(size > 1, size)]
 
     def _runs(self) -> None:
         """The transform's runs: their symbols, where they begin, and the positions sampled at their first and last places."""
@@ -68,34 +67,46 @@ class RunIndex:
         self.heads = np.flatnonzero(np.concatenate(([True], self.symbols[1:] != self.symbols[:-1]))) if len(self.order) else np.empty(0, np.int64)
         self.tails = np.append(self.heads[1:], len(self.order))[: len(self.heads)] - 1
 
+    def _starts_alike(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+        """Whether the suffixes at a and b share their first bytes: by two overlapping prefixes of a doubling."""
+        h, rank = next(((h, r) for h, r in self.ranks[::-1] if h <= length), (0, None))
+        same = (a + length <= self.ends[a]) & (b + length <= self.ends[b])
+        for on in range(0, length, h) if h else ():
+            on, same = min(on, length - h), same.copy()
+            left = np.flatnonzero(same)
+            same[left] = rank[a[left] + on] == rank[b[left] + on]
+        return same
+
     def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the longest common prefixes of the suffixes at a and b, exactly: by the ranks of the doublings, longest first, then byte by byte."""
-        total = np.zeros(len(a), np.int32)
+        total, most = np.zeros(len(a), np.int32), np.minimum(self.ends[a] - a, self.ends[b] - b)
         for h, rank in self.ranks[::-1]:
-            for _ in range(2):  # the longest doubling of a class that is no longer divided counts once
-                x, y = a + total, b + total
-                fits = (x + h <= self.ends[a]) & (y + h <= self.ends[b])
-                same = fits & (rank[np.where(fits, x, 0)] == rank[np.where(fits, y, 0)])
-                total += h * same
-                if not same.any():
+            while True:  # the longest doubling may count more than once
+                fits = np.flatnonzero(total + h <= most)
+                fits = fits[rank[a[fits] + total[fits]] == rank[b[fits] + total[fits]]]
+                total[fits] += h
+                if h < self.ranks[-1][0] or not len(fits):
                     break
         for _ in range(FIRST):
-            x, y = a + total, b + total
-            fits = (x < self.ends[a]) & (y < self.ends[b])
-            total += fits & (self.data[np.where(fits, x, 0)] == self.data[np.where(fits, y, 0)])
+            fits = np.flatnonzero(total < most)
+            fits = fits[self.data[a[fits] + total[fits]] == self.data[b[fits] + total[fits]]]
+            most[np.setdiff1d(np.flatnonzero(total < most), fits, assume_unique=True)] = 0
+            total[fits] += 1
         return total
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions at the ends of runs, and their longest common prefix with the suffix on the other side of the run's end."""
-        first, last = self.heads[self.heads > 0], self.tails[self.tails < len(self.order) - 1]
-        at = np.concatenate((self.order[first], self.order[last])).astype(np.int64)
-        other = np.concatenate((self.order[first - 1], self.order[last + 1])).astype(np.int64)
-        return at, self.common_prefix(at, other)
+    def samples(self, least: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions at the first and at the last places of runs, and their longest common prefixes with the suffix on the other side, if of the least length."""
+        out = []
+        for place, step in ((self.heads[self.heads > 0], -1), (self.tails[self.tails < len(self.order) - 1], 1)):
+            at, other = self.order[place], self.order[place + step]
+            near = self._starts_alike(at, other, least)
+            out.append((at[near], self.common_prefix(at[near], other[near])))
+        return out
 
-    def matching_statistics(self) -> np.ndarray:
-        """For each position the length of the longest string from it on that starts at another position too: streamed left to right over the samples, one less at each step."""
-        at, length = self.samples()
-        best = np.zeros(len(self.data), np.int64)
-        np.maximum.at(best, at, length)
-        reach = np.where(best > 0, np.arange(len(best)) + best, 0)
-        return np.maximum(np.maximum.accumulate(reach) - np.arange(len(best)), 0) if len(best) else best
+    def matching_statistics(self, least: int = 1) -> np.ndarray:
+        """For each position the length of the longest string from it on that starts at another position too (0 if it is less than least): streamed left to right over the samples, one less at each step."""
+        reach = np.zeros(len(self.data), np.int64)
+        for at, length in self.samples(least):
+            reach[at] = np.maximum(reach[at], at + length)
+        found = np.maximum.accumulate(reach) - np.arange(len(reach)) if len(reach) else reach
+        return np.where(found >= least, found, 0)
