@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import NO_ID, bucket_of, bucket_runs, packed, planes, sizes, unpack_docs, unplaned
-from .common import Rolling, slices, trim
+from .common import Rolling, mixed, slices, trim
 from .rindex import RunIndex
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -41,6 +41,7 @@ HOT, INDEX_BYTES = 2048, 1 << 21
 #: What a chunk learns of a context: it is alone; it stands elsewhere too; it is to be indexed, and is asked for or only held against others; or its strings are to be counted one by one.
 ALONE, REPEATS, ASKED, HELD, ASKED_HOT, HELD_HOT = range(6)
 _PLACE = np.uint64((1 << 28) - 1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES, _MORE = Rolling(211), Rolling(223)
 
 
@@ -75,7 +76,7 @@ class Anchors:
             stops = inside.copy()
             stops[:-1] &= new[1:] | ~inside[1:]
             self.high, self.at = np.flatnonzero(stops), at[self.low]
-        self.gram = _BYTES.ranges(sums, self.at, self.at + anchor)
+        self.gram = mixed(_BYTES.ranges(sums, self.at, self.at + anchor) ^ _SPREAD)  # a least hash is small: mixed again, so that buckets are even
         self.context = _MORE.ranges(_MORE.sums(data), self.low, self.high + length)
 
     def strings(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
