@@ -8,16 +8,34 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy kernel takes at once; a longer text is one slice of its own.
 SLICE = 1 << 18
 
 
+def row_key(of: str = "") -> Column:
+    """128 bits of a row's doc_id and text, as two hashes; of: prefix of the columns' names."""
+    return F.struct(F.xxhash64(f"{of}doc_id", f"{of}text").alias("a"), F.xxhash64(F.lit(7), f"{of}doc_id", f"{of}text").alias("b"))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in a struct `doc`, so that none clashes with a column of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc")
+
+
+#: Type of row_key.
+KEY = "struct<a:bigint,b:bigint>"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; /tmp/checkpoints only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The shared folder the cluster names in spark.checkpoint.dir; where it is unset, a folder of this machine if Spark runs on it alone, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "/tmp/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at

@@ -13,7 +13,7 @@ window that has m shingles itself holds at least 2 * s / (1 + s) * m.
 
 Defined results: null and empty texts and items have no windows; a text shorter than an item is one
 window; rows with equal doc_id and text give the same rows once; a null doc_id is a row of its own by
-its text; ties take the first window; extra columns are left alone.
+its text; ties take the first window; extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, stored
+from .common import few, row_key, stored, whole_row
 
 #: Words in a shingle, similarity of a leak, bits of SimHash radius, and most rows of item shingles that are broadcast.
 SHINGLE, SIMILARITY, RADIUS, BROADCAST_ROWS = 5, 0.8, 16, 500_000
@@ -31,10 +31,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", "text")
-
-
 def hashed_shingles(hashes: Column, size: int) -> Column:
     """Hashes of all runs of `size` word hashes, in order."""
     last = F.size(hashes) - size
@@ -111,6 +107,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, ra
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that hold no item, with their columns."""
+    """The rows of docs that hold no item, with their columns, whatever their names."""
     found = few(leaks(docs, benchmark, **how).select(F.col("key").alias("leaked_key")).distinct())
-    return docs.join(found, row_key() == F.col("leaked_key"), "left_anti")
+    return docs.select(whole_row(docs)).join(found, row_key("doc.") == F.col("leaked_key"), "left_anti").select("doc.*")

@@ -97,7 +97,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, make, bits: int, mo
     mine = labels.where(f"doc_id is not null and {label} is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
     mine = mine.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(mine), "doc_id")  # at most `most` ids
-    found = feature_rows(rows, make, bits, ["doc_id", "y"]).toArrow().sort_by([("doc_id", "ascending")])
+    made = feature_rows(rows, make, bits, ["doc_id", "y"]).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(most)  # a doc_id may stand on many rows
+    found = made.toArrow().sort_by([("doc_id", "ascending")])
     parts = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
     y = found.column("y").to_numpy().astype(np.int64)
     return y, np.cumsum([0, *map(len, parts)]), np.concatenate(parts) if parts else np.empty(0, np.int32)

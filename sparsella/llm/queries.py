@@ -105,14 +105,16 @@ _PII = (
     "p AS (SELECT doc_id, kind, i, ms[i] AS value, right(gs[i], 160) AS bef, left(gs[i + 1], 160) AS aft, SUM(length(gs[i]) + length(ms[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS en FROM u), "
     f"f AS (SELECT *, en - length(value) AS st FROM p WHERE CASE kind WHEN 0 THEN TRUE WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right(x, 3) AS INTEGER) > 255)) = 0 "
     f"WHEN 2 THEN length({_DIGITS}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER) ELSE (2 * CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER)) % 10 + CAST(substr(reverse({_DIGITS}), j, 1) AS INTEGER) // 5 END)) % 10 = 0 ELSE length({_DIGITS}) BETWEEN 8 AND 15 END), "
-    f"l AS (SELECT doc_id, CAST(kind AS VARCHAR) || ':' || CASE kind WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE {_DIGITS} END AS entity, regexp_extract_all(lower(bef), '{_TERM}') AS x, regexp_extract_all(lower(aft), '{_TERM}') AS y, length(bef) >= 160 AS cx, length(aft) >= 160 AS cy FROM f), "
-    "n AS (SELECT doc_id, entity, list_concat(list_slice(list_reverse(CASE WHEN cx THEN list_slice(x, 2, len(x)) ELSE x END), 1, 8), list_slice(CASE WHEN cy THEN list_slice(y, 1, len(y) - 1) ELSE y END, 1, 8)) AS near FROM l), "
-    "q AS (SELECT DISTINCT doc_id, entity, near, unnest(near) AS term FROM n), "
-    "r AS (SELECT term, entity, COUNT(DISTINCT doc_id) AS te, COUNT(DISTINCT near) AS cs FROM q GROUP BY term, entity HAVING COUNT(DISTINCT near) >= 3), "
-    "e AS (SELECT entity, COUNT(DISTINCT doc_id) AS ne FROM n GROUP BY entity HAVING COUNT(DISTINCT doc_id) >= 3), "
-    f"h AS (SELECT term, COUNT(*) AS nt FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM t) GROUP BY term), "
+    f"l AS (SELECT *, CASE kind WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE {_DIGITS} END AS own, regexp_extract_all(lower(bef), '{_TERM}') AS x, regexp_extract_all(lower(aft), '{_TERM}') AS y, length(bef) >= 160 AS cx, length(aft) >= 160 AS cy FROM f), "
+    "n AS (SELECT doc_id, kind, st, [kind || ':' || own, kind || '~' || CASE kind WHEN 0 THEN split_part(own, '@', 2) WHEN 1 THEN split_part(own, '.', 1) || '.' || split_part(own, '.', 2) WHEN 2 THEN left(own, 6) ELSE left(own, 4) END, CAST(kind AS VARCHAR)] AS es, list_concat(list_slice(list_reverse(CASE WHEN cx THEN list_slice(x, 2, len(x)) ELSE x END), 1, 8), list_slice(CASE WHEN cy THEN list_slice(y, 1, len(y) - 1) ELSE y END, 1, 8)) AS near FROM l), "
+    "m AS (SELECT doc_id, entity, arg_min(near, st) AS ctx FROM (SELECT doc_id, st, array_to_string(near, ' ') AS near, unnest(es) AS entity FROM n) GROUP BY doc_id, entity), "
+    "e AS (SELECT entity, COUNT(*) AS ne FROM m GROUP BY entity HAVING COUNT(DISTINCT ctx) >= 3), "
+    f"b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{_TERM}')) AS term FROM t), "
+    f"d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '{_PLAIN[0]}', ' ', 'g')), '{_TERM}')) AS term FROM t WHERE doc_id IN (SELECT doc_id FROM m)), "
+    "r AS (SELECT term, m.entity, ne, COUNT(*) AS te FROM m JOIN e ON e.entity = m.entity JOIN d ON d.doc_id = m.doc_id GROUP BY term, m.entity, ne HAVING COUNT(DISTINCT ctx) >= 3), "
+    "h AS (SELECT term, COUNT(*) AS nt FROM b GROUP BY term), "
     "c AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM t), "
-    "g AS (SELECT DISTINCT r.term FROM r JOIN e ON e.entity = r.entity JOIN h ON h.term = r.term CROSS JOIN c WHERE n > ne AND ln(n * te / (GREATEST(nt, te) * CAST(ne AS DOUBLE))) / ln(n / ne) >= 0.6), "
+    "g AS (SELECT DISTINCT r.term FROM r JOIN h ON h.term = r.term CROSS JOIN c WHERE n > ne AND ln(n * (te - sqrt(te)) / (CAST(nt AS DOUBLE) * ne)) / ln(n / ne) >= 0.6), "
     f"w AS (SELECT doc_id, regexp_extract_all(text, '{_TERM}') AS ms, string_split_regex(text, '{_TERM}') AS gs FROM t WHERE EXISTS (SELECT 1 FROM g)), "
     "v AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM w), "
     "z AS (SELECT doc_id, ms[i] AS value, SUM(length(gs[i]) + length(ms[i])) OVER (PARTITION BY doc_id ORDER BY i) AS en FROM v), "

@@ -139,6 +139,7 @@ def materialised(docs: DataFrame, key: int = 20240229, length: int = LENGTH, sha
     groups = max(1, math.ceil(size / GROUP_BYTES))
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(groups / 2))
     base = _tokenised(docs, groups, parts, vocabulary)
+    ranges = max(parts, math.ceil(size / 3 / length / shard_rows))
 
     def count(key, table):
         return pa.table({"grp": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(map(len, _unpacked(table)[1])) // 2], pa.int64())})
@@ -148,22 +149,23 @@ def materialised(docs: DataFrame, key: int = 20240229, length: int = LENGTH, sha
     starts = counts.select("grp", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
 
     def cut(left, right):
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
         if left.num_rows:
             ids, tokens = _unpacked(left)
             start, total = right.column("start")[0].as_py(), right.column("total")[0].as_py()
             slot_of = Feistel(-(-total // length), key)
+            shards = -(-slot_of.n // shard_rows)
             stream = np.frombuffer(b"".join(tokens), np.uint16)
             begins = start + np.concatenate(([0], np.cumsum([len(t) // 2 for t in tokens])))
             sequences = np.arange(start // length, (begins[-1] - 1) // length + 1)
             for sequence, slot in zip(sequences.tolist(), slot_of(sequences).tolist(), strict=True):
                 lo, hi = max(sequence * length, start), min((sequence + 1) * length, int(begins[-1]))
                 held = ids[np.searchsorted(begins, lo, "right") - 1 : np.searchsorted(begins, hi, "left")]
-                for column, x in zip(out, (slot // shard_rows, slot, sequence, lo - sequence * length, held.astype(np.int64).tobytes(), stream[lo - start : hi - start].tobytes()), strict=True):
+                for column, x in zip(out, (slot // shard_rows * ranges // shards, slot // shard_rows, slot, sequence, lo - sequence * length, held.astype(np.int64).tobytes(), stream[lo - start : hi - start].tobytes()), strict=True):
                     column.append(x)
-        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "slot", "sequence", "place", "ids", "part"])
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["range", "shard", "slot", "sequence", "place", "ids", "part"])
 
-    pieces = base.groupBy("grp").cogroup(starts.groupBy("grp")).applyInArrow(cut, "shard long, slot long, sequence long, place int, ids binary, part binary")
+    pieces = base.groupBy("grp").cogroup(starts.groupBy("grp")).applyInArrow(cut, "range int, shard long, slot long, sequence long, place int, ids binary, part binary")
 
     def assemble(batches):
         for table in whole_groups(batches, ["slot"]):
@@ -183,12 +185,12 @@ def materialised(docs: DataFrame, key: int = 20240229, length: int = LENGTH, sha
                 ["slot", "shard", "shard_row", "byte_offset", "sequence", "n_tokens", "doc_ids", "tokens"],
             )
 
-    shards = max(parts, math.ceil(size / 3 / length / shard_rows))
-    return pieces.repartition(shards, "shard").sortWithinPartitions("slot", "place").mapInArrow(assemble, RESULT)
+    # Ranges of slots, of whole shards: the number of sequences is known, so the ranges are exact and nothing is sampled.
+    return pieces.repartitionById(ranges, F.col("range")).drop("range").sortWithinPartitions("slot", "place").mapInArrow(assemble, RESULT)
 
 
 def write_shards(sequences: DataFrame, path: str) -> DataFrame:
-    """Writes shard-<number>.bin under a path that pyarrow can open, each by one task, under a name of its own until it is whole: shard, rows, bytes."""
+    """Writes shard-<number>.bin under a path that pyarrow can open, each by one task, under a name of its own until it is whole: shard, rows, bytes. sequences: as materialised returns them, or read again in any order."""
 
     def run(batches):
         import uuid

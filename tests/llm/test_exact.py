@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparsella.llm import cdc, common, debruijn, decontaminate, disclosure, longmatch, neardup, rindex, simhash
+from sparsella.llm import cdc, common, debruijn, decontaminate, disclosure, longmatch, mixing, neardup, rindex, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, key long, chunk int"
 
@@ -258,14 +258,71 @@ def test_leaks(spark, docs):
     assert decontaminate.leaks(table.limit(0), bench).count() == 0 and decontaminate.leaks(table, bench.limit(0)).count() == 0
 
 
+CLASHING = ["row", "row_of", "of", "leaked_key", "span_key", "span_list", "key", "doc", "found", "at", "pass", "block", "position", "mix_n", "chunk", "fp", "a.b"]
+
+
 def test_extra_columns_survive(docs, spark):
     bench = spark.createDataFrame([(1, "nothing like it in any of these documents")], "item_id long, text string")
-    assert decontaminate.without_leaks(docs, bench).columns == docs.columns
-    assert decontaminate.without_leaks(docs, bench).count() == docs.count()
-    assert disclosure.sanitised(docs).columns == docs.columns
+    wide = docs.select("doc_id", "text", "source", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    rows = sorted(map(str, wide.collect()))
+    assert decontaminate.without_leaks(wide, bench).columns == wide.columns
+    assert sorted(map(str, decontaminate.without_leaks(wide, bench).collect())) == rows
+    clean = disclosure.sanitised(wide)
+    assert clean.columns == wide.columns and clean.count() == len(rows) and clean.where(F.col("`a.b`") == CLASHING.index("a.b")).count() == len(rows)
+    assert mixing.mixture(wide).columns == wide.columns and mixing.mixture(wide).distinct().count() == wide.distinct().count()
+    kept = neardup.one_of_each(wide)
+    assert kept.columns == wide.columns and {str(x) for x in kept.collect()} <= set(rows)
+    for query in (simhash.near_components, longmatch.drop_long_matches, debruijn.drop_repeated_words, cdc.fingerprints, disclosure.personal_data):
+        assert query(wide).count() == len(rows)
     assert docs.where(F.col("doc_id").isNull()).count() == 2
 
 
+def test_repeated_rows_change_no_disclosure(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(word(r) + "x" for _ in range(40)) + (f" Keyword{i % 3} u{i}@host.example" if i % 20 == 0 else "")) for i in range(200)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = [sorted((x.term, round(x.disclosure, 6) > 0.6) for x in disclosure.disclosing_terms(t, disclosure.base_findings(t)).collect()) for t in (once, once.union(once).union(once))]
+    assert {x for x, _ in terms[0]} <= {x for x, _ in terms[1]} and ("keyword", True) in terms[0] and not {"host", "example"} & {x for x, _ in terms[0]}
+    pmi = [{x.term: x.disclosure for x in disclosure.disclosing_terms(t, disclosure.base_findings(t)).collect()} for t in (once, once.union(once))]
+    assert all(pmi[1][t] >= pmi[0][t] - 1e-9 for t in pmi[0])  # only the discount of small counts shrinks
+
+
+def test_chunks_follow_their_rule(docs, rows):
+    """Content-defined chunks, cut one byte at a time, and likeness from the chunks' bytes themselves."""
+    gear = [int(x) for x in cdc._GEAR]
+
+    def chunks(data):
+        out, start = [], 0
+        while start < len(data):
+            cut = len(data)
+            for end in range(start + cdc.LEAST, len(data)):
+                h = sum(gear[data[end - 1 - k]] << k for k in range(min(32, end))) & 0xFFFFFFFF
+                bits = cdc.STRICT if end < start + cdc.NORMAL else cdc.LOOSE
+                if h >> 16 & ((1 << bits) - 1) == 0 or end == start + cdc.MOST:
+                    cut = end
+                    break
+            out.append(data[start:cut])
+            start = cut
+        return set(out)
+
+    def share(a, b):
+        return sum(map(len, a & b)) / sum(map(len, a)) if a else float(not b)
+
+    order = sorted(((i, (t or "").encode()) for i, t in rows if t is None or len(t) < 3000), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    small = docs.where("text is null or length(text) < 3000")
+    got = {}
+    for x in cdc.fingerprints(small).collect():
+        got.setdefault((x.doc_id, x.fingerprint), []).append(x)
+    lengths = lambda fp: sorted(int(v) & 0xFFFF for v in cdc.read_back(fp))
+    want = collections.Counter()
+    for (i, t), (_, u) in zip(order, [*order[1:], order[0]], strict=True):
+        text, other = t.decode(), u.decode()
+        new = (text[: len(text) - len(text) // 2] + other[: len(text) // 2]).encode()
+        want[(i, len(text), tuple(sorted(map(len, chunks(t)))), tuple(sorted(map(len, chunks(new)))), round(share(chunks(t), chunks(new)), 9), round(share(chunks(t), chunks(u)), 9))] += 1
+    have = collections.Counter((x.doc_id, x.n_chars, tuple(lengths(x.fingerprint)), tuple(lengths(x.edited_fingerprint)), round(x.near_edited, 9), round(x.near_next, 9)) for v in got.values() for x in v)
+    assert have == want
+
+
 def template_texts(others, pairs, share):
     """Texts of 104 words that share their first words; of each pair, the second has the first's last words changed (Jaccard 0.82)."""
     r = random.Random(11)
