@@ -7,6 +7,8 @@ manifest is itself a small Parquet dataset of numbered versions, so any store th
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 
 import numpy as np
@@ -28,9 +30,18 @@ ARTIFACTS = {
     "read index": ("X_data_filtered", None, "matrix in reading order"),
     "components": ("obsm_X_pca", None, "principal components"),
     "markers": ("rank_genes_groups", None, "marker ranking"),
+    "layout": ("obsm_X_umap", None, "two-dimensional embedding"),
+    "k-means clusters": ("obs", "kmeans", "cluster of each cell"),
+    "graph clusters": ("obs", "graph_cluster", "cluster of each cell"),
+    "annotation": ("manual_cluster_annotation", None, "labels given to clusters"),
 }
 
 
+def quoted(name: str) -> str:
+    """A name as an identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Atlas:
     """Tables obs, var, X_data and layers, obsm_*, varm_*, uns_*, by name; queries over all of them; verbs that add to them."""
 
@@ -39,7 +50,8 @@ class Atlas:
             raise TypeError("path must be a string")
         if not path:
             raise ValueError("path is empty")
-        self.spark, self.path, self.read_only, self.tables = spark, path.rstrip("/"), read_only, {}
+        path = os.path.expanduser(path) if path.startswith("~") else path
+        self.spark, self.path, self.read_only, self.tables, self.progress = spark, path.rstrip("/"), read_only, {}, False
         self.connect("r" if read_only else "r+")
 
     # Session and catalog.
@@ -91,6 +103,8 @@ class Atlas:
             raise PermissionError("the atlas is open for reading only")
         done = {}
         for name, df in frames.items():
+            if self.progress:
+                print(f"writing {name}", flush=True)
             done[name] = f"{self.path}/{name}/{uuid.uuid4().hex}"
             df.write.parquet(done[name])
         self._commit(done)
@@ -119,11 +133,36 @@ class Atlas:
         return self.table(name).limit(n)
 
     def query(self, sql: str) -> DataFrame:
-        """SQL over all tables by name, evaluated when the result is used."""
+        """SQL over all tables by name, evaluated when the result is used. A name that is no identifier goes in backticks."""
         for name in self.tables:
-            self.table(name).createOrReplaceTempView(name)
+            self.table(name).createOrReplaceTempView(quoted(name))
         return self.spark.sql(sql)
 
+    def query_raw(self, sql: str):
+        """An iterator over the rows of a query, which come to the driver partition by partition."""
+        return self.query(sql).toLocalIterator()
+
+    def execute_sql(self, sql: str) -> int:
+        """Runs a statement to its end and gives the number of rows. `create table NAME as QUERY` adds a table, `drop table NAME` takes one away."""
+        if made := re.fullmatch(r"\s*create\s+(?:or\s+replace\s+)?table\s+`?([^`\s]+)`?\s+as\s+(.+)", sql, re.I | re.S):
+            self.put(**{made[1]: self.query(made[2].rstrip("; \n"))})
+            return self.table(made[1]).count()
+        if gone := re.fullmatch(r"\s*drop\s+table\s+(?:if\s+exists\s+)?`?([^`\s;]+)`?\s*;?\s*", sql, re.I):
+            self.table(gone[1])
+            self.drop(gone[1])
+            return 0
+        return self.query(sql).count()
+
+    def set_verbosity(self, level: str) -> None:
+        """What Spark logs from now on: ALL, DEBUG, INFO, WARN, ERROR or OFF."""
+        if level.upper() not in ("ALL", "DEBUG", "INFO", "WARN", "ERROR", "OFF"):
+            raise ValueError(f"no such level: {level}")
+        self.spark.sparkContext.setLogLevel(level.upper())
+
+    def set_progress(self, shown: bool) -> None:
+        """Whether verbs name the tables that they write."""
+        self.progress = bool(shown)
+
     def describe(self) -> dict:
         n = lambda t: self.table(t).count() if t in self.tables else 0
         return {"path": self.path, "tables": self.table_names(), "n_cells": n("obs"), "n_genes": n("var")}
@@ -153,6 +192,30 @@ class Atlas:
         self.put(obs=obs, var=var, X_data=x, X_indptr=matrix.row_pointers(x, obs), **more)
         return self
 
+    def load_layout(self, paths: str | list[str], load_type: str = "order", seed: int = 0, cell_name_col: str | None = None, gene_name_col: str | None = None, detect_scale: bool = True) -> Atlas:
+        """One or several folders of obs, var, X, obsm_* and varm_* (readers.read_layout), in order or in a random order of the cells that a seed fixes.
+
+        Several must have the same genes; their cells and embeddings are put one after the other. cell_name_col
+        and gene_name_col are columns whose values, distinct and without nulls, become the names.
+        """
+        if load_type not in ("order", "random"):
+            raise ValueError("load_type must be order or random")
+        parts = [readers.read_layout(self.spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
+        if not parts:
+            raise ValueError("no path")
+        obs, var, x = readers.stacked([p[:3] for p in parts]) if len(parts) > 1 else parts[0][:3]
+        obsm, start = dict(parts[0][3]), parts[0][0].count()
+        for o, _, _, more, _ in parts[1:]:
+            if set(more) != set(obsm):
+                raise ValueError("the parts differ in their embeddings")
+            obsm = {k: v.unionByName(more[k].withColumn("cell_id", F.col("cell_id") + start)) for k, v in obsm.items()}
+            start += o.count()
+        obs, var = readers.named(obs, cell_name_col, "cell_name"), readers.named(var, gene_name_col, "gene_name")
+        if load_type == "random":
+            obs, x, *turned = readers.shuffled(obs, x, seed, *obsm.values())
+            obsm = dict(zip(obsm, turned, strict=True))
+        return self.load(obs, var, x, obsm, parts[0][4], detect_scale)
+
     def load_multi_format(self, path: str) -> Atlas:
         obs, var, x = readers.load_any(self.spark, path)
         obs = x.select("cell_id").distinct().withColumn("cell_name", F.col("cell_id").cast("string")) if obs is None else obs
@@ -282,6 +345,8 @@ class Atlas:
 
     def scale(self, use_data: str = "data_log1p", max_value: float | None = 10.0, use_hvg: bool = True, mode: str = "center_and_scale", add_data: str = "data_scale") -> None:
         var = self.table("var")
+        if use_hvg and "highly_variable_genes" not in var.columns:
+            raise ValueError("there are no variable genes: call highly_variable_genes, or pass use_hvg=False")
         genes = var.where("highly_variable_genes") if use_hvg else None
         layer, zero = transform.scale(self.layer(use_data), self._n_cells(), genes, mode, max_value)
         self._add_layer(add_data, layer, use_data, f"scale:{mode}", mode != "scale_only", var=matrix.with_columns_from(var, zero, "gene_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,12 @@ def _blocks(frame: pd.DataFrame, zero: np.ndarray, size: int = 1024):
         yield part["filter_cell_id"].to_numpy(), out
 
 
+#: Rows of a summed matrix that travel together.
+STRIPE = 256
+
+
 def _summed(rows: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
-    """The sum over all blocks of make(block): one matrix a task, added by row on the executors."""
+    """The sum over all blocks of make(block): each task sends its sum in stripes of rows, which are added on the executors."""
 
     def run(frames):
         total, zero = None, make.zero
@@ -42,13 +47,23 @@ def _summed(rows: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
                 part = make(block)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "row": list(total)})
-
-    parts = rows.mapInPandas(run, "i int, row array<double>")
-    added = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r"))
+            at = range(0, len(total), STRIPE)
+            yield pd.DataFrame({"stripe": [i // STRIPE for i in at], "sums": [np.ascontiguousarray(total[i : i + STRIPE]).tobytes() for i in at]})
+
+    def add(key, batches):
+        total = None
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                part = np.frombuffer(blob)
+                total = part.copy() if total is None else total + part
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["stripe", "sums"])
+
+    schema = "stripe int, sums binary"
+    added = rows.mapInPandas(run, schema).groupBy("stripe").applyInArrow(lambda key, table: pa.Table.from_batches(add(key, table.to_batches())), schema)
     out = np.zeros(shape)
-    for r in added.select("i", F.col("r.v").alias("v")).toLocalIterator():
-        out[r["i"]] = r["v"]
+    for r in added.toLocalIterator():
+        part = np.frombuffer(bytes(r["sums"])).reshape(-1, shape[1])
+        out[r["stripe"] * STRIPE : r["stripe"] * STRIPE + len(part)] = part
     return out
 
 

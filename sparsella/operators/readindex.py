@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,27 +46,60 @@ def shuffled_order(cells: DataFrame, batch_size: int, buffer_batches: int, seed:
     return cells.select("filter_cell_id", group.alias("g")).select("filter_cell_id", (F.col("g") * batch_size * buffer_batches + F.row_number().over(order) - 1).alias("place"))
 
 
-def dense_batches(matrix: DataFrame, cells: DataFrame, zero: np.ndarray, batch_size: int = 2048, buffer_batches: int = 5, seed: int | None = None, turn: int = 0, obs_col: DataFrame | None = None) -> DataFrame:
-    """One row a cell: batch, place, filter_cell_id and values, a dense array that starts as the zero vector; obs_col adds a column by filter_cell_id. seed None: in order."""
-    width, zero = len(zero), np.asarray(zero, np.float32)
+#: Values in a dense block, at most, if a cell has not more.
+BLOCK_VALUES = 1 << 23
+
+
+def dense_block(genes, data, zero: np.ndarray) -> np.ndarray:
+    """A dense matrix of rows given as Arrow lists of genes and data; absent entries are the zero vector's."""
+    out = np.tile(zero, (len(genes), 1))
+    row = np.repeat(np.arange(len(genes)), np.diff(genes.offsets.to_numpy())) if not genes.null_count else pc.list_parent_indices(genes).to_numpy()
+    out[row, genes.flatten().to_numpy()] = data.flatten().to_numpy()
+    return out
+
+
+def map_dense(matrix: DataFrame, cells: DataFrame, zero: np.ndarray, make, schema: str, batch_size: int = 2048, buffer_batches: int = 5, seed: int | None = None, turn: int = 0, obs_col: DataFrame | None = None) -> DataFrame:
+    """make(columns, block) of blocks of cells, on the executors: columns are filter_cell_id, place, batch and those of obs_col (by filter_cell_id), as Arrow; block is dense. It returns what schema says."""
+    zero = np.asarray(zero, np.float32)
     places = cells.select("filter_cell_id", F.col("filter_cell_id").alias("place")) if seed is None else shuffled_order(cells, batch_size, buffer_batches, seed, turn)
-    stored = matrix.groupBy("filter_cell_id").agg(F.collect_list("filter_gene_id").alias("genes"), F.collect_list("data").alias("data"))
-    rows = places.join(stored, "filter_cell_id", "left").withColumn("batch", F.expr(f"cast(floor(place / {batch_size}) as bigint)"))
+    held = matrix.groupBy("filter_cell_id").agg(F.collect_list(F.col("filter_gene_id").cast("int")).alias("genes"), F.collect_list(F.col("data").cast("float")).alias("data"))
+    rows = places.join(held, "filter_cell_id", "left").withColumn("batch", F.expr(f"cast(floor(place / {batch_size}) as bigint)"))
     if obs_col is not None:
         rows = rows.join(obs_col, "filter_cell_id", "left")
     keep = [c for c in rows.columns if c not in ("genes", "data")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", values array<float>"
+    step = max(1, BLOCK_VALUES // max(1, len(zero)))
 
-    def fill(frames):
-        for frame in frames:
-            out = np.tile(zero, (len(frame), 1))
-            for i, (genes, data) in enumerate(zip(frame["genes"], frame["data"], strict=True)):
-                if genes is not None:
-                    out[i, np.asarray(genes, np.int64)] = data
-            yield frame[keep].assign(values=list(out))
-
-    del width
-    return rows.mapInPandas(fill, schema)
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                part = whole.slice(lo, step)
+                yield make(part.select(keep), dense_block(part.column("genes"), part.column("data"), zero))
+
+    return rows.mapInArrow(run, schema)
+
+
+def dense_batches(matrix: DataFrame, cells: DataFrame, zero: np.ndarray, batch_size: int = 2048, buffer_batches: int = 5, seed: int | None = None, turn: int = 0, obs_col: DataFrame | None = None) -> DataFrame:
+    """One row a cell: batch, place, filter_cell_id and values, a dense array that starts as the zero vector; obs_col adds a column by filter_cell_id. seed None: in order."""
+    more = [] if obs_col is None else [f for f in obs_col.schema if f.name != "filter_cell_id"]
+    schema = f"filter_cell_id {dict(cells.dtypes)['filter_cell_id']}, place long, batch long, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in more) + "values array<float>"
+
+    def whole(columns, block):
+        ends = pa.array(np.arange(len(block) + 1, dtype=np.int32) * block.shape[1])
+        place = columns.column("place").cast(pa.int64())
+        return pa.RecordBatch.from_arrays([columns.column("filter_cell_id"), place, columns.column("batch"), *[columns.column(f.name) for f in more], pa.ListArray.from_arrays(ends, pa.array(block.ravel()))], ["filter_cell_id", "place", "batch", *[f.name for f in more], "values"])
+
+    return map_dense(matrix, cells, zero, whole, schema, batch_size, buffer_batches, seed, turn, obs_col)
+
+
+def batch_sums(matrix: DataFrame, cells: DataFrame, zero: np.ndarray, batch_size: int = 2048) -> DataFrame:
+    """batch, total and weighted (by gene number from 1) sums of all its dense values: what a reader of the batches must find."""
+
+    def sums(columns, block):
+        wide = block.astype(float)
+        return pa.RecordBatch.from_arrays([columns.column("batch"), pa.array(wide.sum(axis=1)), pa.array(wide @ np.arange(1.0, wide.shape[1] + 1))], ["batch", "total", "weighted"])
+
+    each = map_dense(matrix, cells, zero, sums, "batch long, total double, weighted double", batch_size)
+    return each.groupBy("batch").agg(F.sum("total").alias("total"), F.sum("weighted").alias("weighted"))
 
 
 def batches(dense: DataFrame):

@@ -273,8 +273,10 @@ def _dense(s, d, batch):
 
 @query(f"WITH {FC}, m AS (SELECT fcell, fgene, v FROM fc JOIN x ON x.cell_id = fc.cell_id JOIN fg ON x.gene_id = fg.gene_id) SELECT CAST(fcell // 256 AS BIGINT) AS batch, SUM(v) AS total, SUM(v * (fgene + 1)) AS weighted FROM m GROUP BY fcell // 256")
 def dense_batch_checksum(s, d):
-    rows = _dense(s, d, 256).select("batch", F.posexplode("values").alias("g", "v"))
-    return rows.groupBy("batch").agg(F.sum(F.col("v").cast("double")).alias("total"), F.sum(F.col("v").cast("double") * (F.col("g") + 1)).alias("weighted"))
+    import numpy as np
+
+    x, cells, genes = _index(s, d)
+    return readindex.batch_sums(readindex.filtered_matrix(x, cells, genes), cells, np.zeros(genes.count(), np.float32), 256)
 
 
 @query(f"WITH {FC}, m AS (SELECT fgene, SUM(v) AS s1, SUM(v * v) AS s2 FROM fc JOIN x ON x.cell_id = fc.cell_id JOIN fg ON x.gene_id = fg.gene_id GROUP BY fgene), n AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM fc) SELECT CAST(fg.fgene AS BIGINT) AS gene, {r6('COALESCE(s1, 0) / n')} AS mean, {r6('COALESCE((s2 - s1 * s1 / n) / (n - 1), 0)', 4)} AS variance FROM fg CROSS JOIN n LEFT JOIN m ON m.fgene = fg.fgene")
@@ -290,11 +292,17 @@ def _top_genes(x: DataFrame, n: int = 30) -> DataFrame:
     return x.groupBy("gene_id").agg(F.sum("v").alias("s")).orderBy(F.desc("s"), "gene_id").limit(n).select("gene_id")
 
 
-@query(f"WITH {N}, {_TOP}, k AS (SELECT l.* FROM l JOIN g30 ON l.gene_id = g30.gene_id), m AS (SELECT gene_id, SUM(v) AS s FROM k GROUP BY gene_id), c AS (SELECT a.gene_id AS a, b.gene_id AS b, SUM(a.v * b.v) AS p FROM k a JOIN k b ON a.cell_id = b.cell_id GROUP BY a.gene_id, b.gene_id) SELECT ma.gene_id AS gene_a, mb.gene_id AS gene_b, {r6('(COALESCE(p, 0) - ma.s * mb.s / n) / (n - 1)')} AS covariance FROM m ma CROSS JOIN m mb CROSS JOIN nc LEFT JOIN c ON c.a = ma.gene_id AND c.b = mb.gene_id")
+_VARIABLE = "vg AS (SELECT p_partkey AS gene_id, COALESCE(std, 0) AS sd FROM part LEFT JOIN gm ON gene_id = p_partkey), g30 AS (SELECT gene_id FROM vg ORDER BY ROUND(sd * sd, 9) DESC, gene_id LIMIT 200)"
+
+
+def _variable(s, d, n: int) -> DataFrame:
+    """The genes that the variance flavor chooses."""
+    return hvg.by_moments(log_of(s, d), var_of(s, d), obs_of(s, d).count(), "var", n).where("highly_variable_genes").select("gene_id")
+
+
+@query(f"WITH {M}, {_VARIABLE}, k AS (SELECT l.* FROM l JOIN g30 ON l.gene_id = g30.gene_id), m AS (SELECT gene_id, SUM(v) AS s FROM k GROUP BY gene_id), c AS (SELECT a.gene_id AS a, b.gene_id AS b, SUM(a.v * b.v) AS p FROM k a JOIN k b ON a.cell_id = b.cell_id GROUP BY a.gene_id, b.gene_id) SELECT ma.gene_id AS gene_a, mb.gene_id AS gene_b, {r6('(COALESCE(p, 0) - ma.s * mb.s / n) / (n - 1)')} AS covariance FROM m ma CROSS JOIN m mb CROSS JOIN nc LEFT JOIN c ON c.a = ma.gene_id AND c.b = mb.gene_id")
 def covariance_matrix(s, d):
-    x = x_of(s, d)
-    top = F.broadcast(_top_genes(x))
-    return rounded(linalg.covariance(log_of(s, d).join(top, "gene_id", "left_semi"), obs_of(s, d).count()), "covariance")
+    return rounded(linalg.covariance(log_of(s, d).join(_variable(s, d, 200), "gene_id", "left_semi"), obs_of(s, d).count()), "covariance")
 
 
 _RANK = (
@@ -441,9 +449,9 @@ def mean_nonzero(s, d):
     return rounded(out, "mean_nonzero")
 
 
-@query(_GRID + f"SELECT label AS c_mktsegment, gene_id, {r6('mean')} AS mean_all, {r6('percent')} AS percent_above FROM gr")
+@query(_GRID.replace(_TOP, "g30 AS (SELECT p_partkey AS gene_id FROM part)") + f"SELECT label AS c_mktsegment, gene_id, {r6('mean')} AS mean_all, {r6('percent')} AS percent_above FROM gr")
 def mean_all_cells(s, d):
-    out = plotdata.dotplot(log_of(s, d), obs_of(s, d), _top_genes(x_of(s, d)), "c_mktsegment", 0.5)
+    out = plotdata.dotplot(log_of(s, d), obs_of(s, d), var_of(s, d), "c_mktsegment", 0.5)
     return rounded(out.withColumnsRenamed({"label": "c_mktsegment", "mean": "mean_all", "percent": "percent_above"}), "mean_all", "percent_above")
 
 
@@ -452,10 +460,12 @@ def atlas_size(s, d):
     return obs_of(s, d).agg(F.count("*").alias("n_cells")).crossJoin(var_of(s, d).agg(F.count("*").alias("n_genes"))).crossJoin(x_of(s, d).agg(F.count("*").alias("nnz")))
 
 
-@query("SELECT vec_id AS cell_id, c_mktsegment, CAST(embedding[1] AS DOUBLE) AS dim_0, CAST(embedding[2] AS DOUBLE) AS dim_1 FROM embeddings JOIN customer ON c_custkey = vec_id")
+@query("SELECT vec_id AS cell_id, c_mktsegment, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS dim_{i}" for i in range(64)) + " FROM embeddings JOIN customer ON c_custkey = vec_id")
 def embedding_join(s, d):
-    e = table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), *[F.get("embedding", i).cast("double").alias(f"dim_{i}") for i in (0, 1)])
-    return e.join(obs_of(s, d).select("cell_id", "c_mktsegment"), "cell_id").select("cell_id", "c_mktsegment", "dim_0", "dim_1")
+    from ..sources.readers import dim_columns
+
+    e = dim_columns(table(s, d, "embeddings").select(F.col("vec_id").alias("cell_id"), "embedding"), "embedding")
+    return e.join(obs_of(s, d).select("cell_id", "c_mktsegment"), "cell_id")
 
 
 @query(f"SELECT CAST(label AS VARCHAR) AS label, {r6('median(CAST(embedding[1] AS DOUBLE))')} AS x, {r6('median(CAST(embedding[2] AS DOUBLE))')} AS y, COUNT(*) AS n FROM embeddings GROUP BY label")
@@ -516,8 +526,7 @@ def pca_coords(s, d):
 
 
 def _pca(s, d):
-    x = x_of(s, d)
-    layer, zero = transform.scale(log_of(s, d), obs_of(s, d).count(), _top_genes(x, 200))
+    layer, zero = transform.scale(log_of(s, d), obs_of(s, d).count(), _variable(s, d, 2000))
     cells = dense_number(obs_of(s, d).select("cell_id"), "cell_id", "filter_cell_id")
     genes = dense_number(zero, "gene_id", "filter_gene_id")
     return linalg.pca(readindex.filtered_matrix(layer, cells, genes), cells, genes, 10)
@@ -526,7 +535,7 @@ def _pca(s, d):
 @query()
 def louvain_student(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("cell"), F.col("embedding").alias("values"))
-    return cluster.graph_clustering(e, fit_sample_n=2000)[0]
+    return cluster.graph_clustering(e)[0]
 
 
 @query()
@@ -534,7 +543,7 @@ def umap_coords(s, d):
     from ..operators import embed
 
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("cell"), F.col("embedding").alias("values"))
-    return embed.umap(e, fit_sample_n=1000)[0]
+    return embed.umap(e)[0]
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -600,3 +609,75 @@ def group_totals(s, d):
     sizes = ranking.group_sizes(obs_of(s, d), "c_mktsegment")
     sums = ranking.group_sums(log_of(s, d), obs_of(s, d), "c_mktsegment").groupBy("group").agg(F.sum("nz").alias("stored"), F.sum("s").alias("s"))
     return rounded(sums.join(sizes, "group").select(F.col("group").alias("label"), "stored", (F.col("s") / F.col("n")).alias("per_cell")), "per_cell")
+
+
+@query(f"WITH {FC}, m AS (SELECT fcell, fgene, v FROM fc JOIN x ON x.cell_id = fc.cell_id JOIN fg ON x.gene_id = fg.gene_id) SELECT CAST(f.fcell // 256 AS BIGINT) AS batch, COUNT(DISTINCT f.fcell) AS n_cells, COUNT(v) AS nnz, {r6('COALESCE(SUM(v * (fgene + 1)), 0)')} AS weighted FROM fc f LEFT JOIN m ON m.fcell = f.fcell GROUP BY f.fcell // 256")
+def csr_batch_checksum(s, d):
+    x, cells, genes = _index(s, d)
+    made = readindex.csr_batches(readindex.filtered_matrix(x, cells, genes), cells, 256)
+    weighted = F.aggregate(F.zip_with("data", "indices", lambda v, g: v.cast("double") * (g + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rounded(made.select("batch", F.size("filter_cell_ids").cast("long").alias("n_cells"), F.size("data").cast("long").alias("nnz"), weighted.alias("weighted")), "weighted")
+
+
+@query(f"WITH {X}, w AS (SELECT c_mktsegment AS label, cell_id, gene_id, v FROM x JOIN customer ON cell_id = c_custkey), q AS (SELECT label, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM w GROUP BY label) SELECT w.label, COUNT(*) AS n, {r6('SUM(v)')} AS total FROM w JOIN q ON w.label = q.label WHERE v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a) GROUP BY w.label")
+def box_outliers(s, d):
+    values = x_of(s, d).join(obs_of(s, d).select("cell_id", F.col("c_mktsegment").alias("label")), "cell_id").withColumnRenamed("v", "value")
+    found = plotdata.outliers(values, plotdata.quartiles(values, ["label"]), ["label"], 1 << 40)
+    return rounded(found.groupBy("label").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
+
+
+_P = "CASE WHEN p_partkey % 50 = 0 THEN 0.0 ELSE CAST(p_partkey * 7919 % 1009 AS DOUBLE) / 10090 END"
+
+
+@query(f"WITH p AS (SELECT p_partkey AS gene_id, {_P} AS pv, CAST(p_size - 25 AS DOUBLE) / 10 AS lf FROM part) SELECT gene_id, {r6('LEAST(CASE WHEN pv > 0 THEN -log10(pv) ELSE 300 END, 300)')} AS neg_log10_p, CASE WHEN pv < 0.05 AND lf >= 1 THEN 'up' WHEN pv < 0.05 AND lf <= -1 THEN 'down' ELSE 'none' END AS significance FROM p")
+def volcano_points(s, d):
+    rows = table(s, d, "part").select(F.col("p_partkey").alias("gene_id"), F.expr(_P).cast("double").alias("pvals_adj"), ((F.col("p_size") - 25).cast("double") / 10).alias("logfoldchanges"))
+    return rounded(plotdata.volcano(rows).select("gene_id", "neg_log10_p", "significance"), "neg_log10_p")
+
+
+@query(_hvg_sql("sd * sd").replace("SELECT gene_id, ROUND(", "SELECT gene_id, highly_variable_genes FROM (SELECT gene_id, ROUND(", 1) + ") WHERE highly_variable_genes OR gene_id IN (SELECT p_partkey FROM part WHERE (p_partkey * 1103515245 + 5) % 2147483648 % 10 = 0)")
+def variability_sample(s, d):
+    found = hvg.by_moments(log_of(s, d), var_of(s, d), obs_of(s, d).count(), "var", 200)
+    others = plotdata.modulo_sample(found.where("not highly_variable_genes"), "gene_id", 10, 5)
+    return plotdata.variability_points(found, n_others=0).unionByName(others).select("gene_id", "highly_variable_genes")
+
+
+@query("WITH l AS (SELECT vec_id AS gene_id, 1 AS component, CAST(embedding[1] AS DOUBLE) AS loading FROM embeddings UNION ALL SELECT vec_id, 2, CAST(embedding[2] AS DOUBLE) FROM embeddings), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY component ORDER BY loading DESC, gene_id) AS t, ROW_NUMBER() OVER (PARTITION BY component ORDER BY loading, gene_id) AS b FROM l) SELECT gene_id, component, loading, 'top' AS side, t AS n FROM r WHERE t <= 7 UNION ALL SELECT gene_id, component, loading, 'bottom', b FROM r WHERE b <= 7")
+def loadings_top(s, d):
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("gene_id"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"pc{i}") for i in (0, 1)])
+    return plotdata.top_loadings(e, ["pc0", "pc1"], 7).withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"WITH t AS (SELECT n_nationkey AS pc_index, CAST(n_nationkey + 1 AS DOUBLE) / 325 AS variance_ratio FROM nation) SELECT pc_index, {r6('SUM(variance_ratio) OVER (ORDER BY pc_index)')} AS cumulative FROM t")
+def variance_running(s, d):
+    stats = table(s, d, "nation").select(F.col("n_nationkey").alias("pc_index"), ((F.col("n_nationkey") + 1).cast("double") / 325).alias("variance_ratio"))
+    return rounded(plotdata.variance_cumsum(stats).select("pc_index", "cumulative"), "cumulative")
+
+
+@query("SELECT 'c_mktsegment' AS name, TRUE AS categorical UNION ALL SELECT 'c_nationkey', COUNT(DISTINCT c_nationkey) <= 128 FROM customer UNION ALL SELECT 'cell_id', COUNT(DISTINCT c_custkey) <= 128 FROM customer UNION ALL SELECT 'c_acctbal', FALSE")
+def categorical_columns(s, d):
+    obs = obs_of(s, d)
+    return s.createDataFrame([(c, bool(plotdata.is_categorical(obs, c))) for c in ("c_mktsegment", "c_nationkey", "cell_id", "c_acctbal")], "name string, categorical boolean")
+
+
+@query("SELECT c_custkey AS cell_id, c_name FROM customer WHERE (c_custkey * 1103515245 + 11) % 2147483648 % 16 = 0")
+def modulo_sample(s, d):
+    return plotdata.modulo_sample(obs_of(s, d).select("cell_id", "c_name"), "cell_id", 16, 11)
+
+
+@query(f"WITH {X}, b AS (SELECT COUNT(*) AS n FROM customer WHERE c_nationkey < 13), a AS (SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS r FROM customer WHERE c_nationkey < 13), e AS (SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 + (SELECT n FROM b) AS r FROM customer WHERE c_nationkey >= 13) SELECT CAST(r AS BIGINT) AS cell_id, gene_id, v FROM x JOIN (SELECT * FROM a UNION ALL SELECT * FROM e) u ON x.cell_id = c_custkey")
+def stacked_parts(s, d):
+    from ..sources.readers import stacked
+
+    x, obs, var = x_of(s, d), obs_of(s, d), var_of(s, d).select("gene_id", "gene_name")
+    parts = []
+    for where in ("c_nationkey < 13", "c_nationkey >= 13"):
+        own = dense_number(obs.where(where).select("cell_id"), "cell_id", "row")
+        parts.append((own.select(F.col("row").alias("cell_id")), var, x.join(own, "cell_id").select(F.col("row").alias("cell_id"), "gene_id", "v")))
+    return stacked(parts)[2].withColumn("cell_id", F.col("cell_id").cast("long"))
+
+
+@query(f"WITH {X}, t AS (SELECT cell_id, SUM(v) AS c_acctbal FROM x GROUP BY cell_id) SELECT c_custkey AS cell_id, c_name, {r6('COALESCE(c_acctbal, -1)')} AS c_acctbal FROM (SELECT c_custkey, c_name FROM customer) LEFT JOIN t ON cell_id = c_custkey")
+def updated_column(s, d):
+    totals = x_of(s, d).groupBy("cell_id").agg(F.sum("v").alias("c_acctbal"))
+    return rounded(matrix.with_columns_from(obs_of(s, d).select("cell_id", "c_name", "c_acctbal"), totals, "cell_id", {"c_acctbal": -1.0}), "c_acctbal")

@@ -16,7 +16,8 @@ SAMPLE_CELLS, MOST_LOG, MOST_LOG_P95 = 5000, 50.0, 10.0
 
 def is_count_scale(x: DataFrame, cells: int = SAMPLE_CELLS) -> bool:
     """Counts, rather than logarithms: among the non-zero values of the first cells, the greatest is above 50 or the 95th percentile above 10."""
-    found = x.where((F.col("cell_id") < cells) & (F.col("v") != 0)).agg(F.max("v").alias("m"), F.percentile("v", 0.95).alias("p")).first()
+    first = x.agg(F.min("cell_id")).first()[0] or 0
+    found = x.where((F.col("cell_id") < first + cells) & (F.col("v") != 0)).agg(F.max("v").alias("m"), F.percentile("v", 0.95).alias("p")).first()
     if found["m"] is None:
         raise ValueError("no value other than zero: the scale cannot be told")
     return found["m"] > MOST_LOG or found["p"] > MOST_LOG_P95
@@ -48,11 +49,48 @@ def from_wide(raw: DataFrame, name: str, genes: list[str]) -> tuple[DataFrame, D
     numbered = dense_number(raw.withColumn("_row", F.monotonically_increasing_id()), "_row", "cell_id").drop("_row")
     obs = numbered.select("cell_id", F.col(f"`{name}`").alias("cell_name"))
     var = raw.sparkSession.createDataFrame(list(enumerate(genes)), "gene_id long, gene_name string")
-    entries = F.array(*[F.struct(F.lit(i).cast("long").alias("gene_id"), F.col(f"`{g}`").cast("double").alias("v")) for i, g in enumerate(genes)])
-    x = numbered.select("cell_id", F.explode(F.filter(entries, lambda e: e["v"] != 0)).alias("e")).select("cell_id", "e.gene_id", "e.v")
+    values = F.array(*[F.col(f"`{g}`") for g in genes])  # one array of columns, whatever their number
+    x = numbered.select("cell_id", F.posexplode(values).alias("gene_id", "v")).select("cell_id", F.col("gene_id").cast("long").alias("gene_id"), F.col("v").cast("double").alias("v")).where("v <> 0")
     return obs, var, x
 
 
+def dim_columns(df: DataFrame, array: str, width: int | None = None, name: str = "dim_") -> DataFrame:
+    """An array column as numbered columns; width None: that of the longest array."""
+    width = df.agg(F.max(F.size(array))).first()[0] or 0 if width is None else width
+    return df.select(*[c for c in df.columns if c != array], *[F.get(array, F.lit(i)).cast("double").alias(f"{name}{i}") for i in range(width)])
+
+
+def named(df: DataFrame, column: str | None, name: str) -> DataFrame:
+    """df with its names in column `name`, taken from another column: it must be there, without nulls, each once."""
+    if column is None:
+        return df
+    if column not in df.columns:
+        raise ValueError(f"there is no column {column}")
+    found = df.agg(F.count("*").alias("n"), F.count(column).alias("k"), F.countDistinct(column).alias("d")).first()
+    if found["k"] < found["n"]:
+        raise ValueError(f"{column} has nulls")
+    if found["d"] < found["n"]:
+        raise ValueError(f"{column} repeats names")
+    return df.withColumn(name, F.col(column).cast("string"))
+
+
+def read_layout(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, dict, dict]:
+    """obs, var, X, and embeddings of cells and genes by name, of a folder of Parquet tables obs, var, X, obsm_* and varm_*, as Atlas.export writes it. Arrays become numbered columns."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = sorted(f.getPath().getName() for f in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop))
+    if missing := {"obs", "var", "X"} - set(names):
+        raise ValueError(f"{path} has no {sorted(missing)}")
+    read = lambda t: spark.read.parquet(f"{path}/{t}")
+
+    def flat(df: DataFrame) -> DataFrame:
+        for c, kind in df.dtypes:
+            if kind.startswith("array"):
+                df = dim_columns(df, c)
+        return df
+
+    return read("obs"), read("var"), read("X"), *({t[5:]: flat(read(t)) for t in names if t.startswith(k)} for k in ("obsm_", "varm_"))
+
+
 def read_matrix_market(spark: SparkSession, path: str, genes_by_cells: bool = True) -> DataFrame:
     """Entries of a coordinate file; 1-based rows (genes, unless told otherwise) and columns; equal coordinates are summed. The size line is told by position, not by value."""
     lines = spark.read.text(path).where("value not like '\\%%' and trim(value) <> ''")
@@ -84,10 +122,9 @@ def from_arrays(arrays: DataFrame) -> DataFrame:
 def stacked(parts: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One matrix from several with the same genes in the same order: cell ids go on from part to part."""
     obs, var, x = parts[0]
-    names = [r["gene_name"] for r in var.orderBy("gene_id").collect()]
-    start = obs.count()
+    start, own = obs.count(), var.select("gene_id", "gene_name")
     for o, v, m in parts[1:]:
-        if [r["gene_name"] for r in v.orderBy("gene_id").collect()] != names:
+        if not own.exceptAll(v.select("gene_id", "gene_name")).isEmpty() or not v.select("gene_id", "gene_name").exceptAll(own).isEmpty():
             raise ValueError("the parts differ in their genes or the genes' order")
         obs = obs.unionByName(o.withColumn("cell_id", F.col("cell_id") + start), allowMissingColumns=True)
         x = x.unionByName(m.withColumn("cell_id", F.col("cell_id") + start))

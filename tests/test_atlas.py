@@ -77,3 +77,34 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_layout_round_trip(spark, tmp_path):
+    """A layout in and out: order, random order with a seed, several folders, names, arrays as columns; statements and names."""
+    obs = spark.createDataFrame([(i, f"c{i}", i % 2) for i in range(8)], "cell_id long, tag string, batch long")
+    var = spark.createDataFrame([(j, f"g{j}") for j in range(5)], "gene_id long, gene_name string")
+    x = spark.createDataFrame([(i, j, float(60 + i * j)) for i in range(8) for j in range(5) if (i + j) % 3], "cell_id long, gene_id long, v double")
+    e = spark.createDataFrame([(i, [float(i), float(-i)]) for i in range(8)], "cell_id long, xy array<double>")
+    a = Atlas(spark, str(tmp_path / "a")).load(obs, var, x, {"X_test": e})
+    a.export(str(tmp_path / "out"))
+    one = Atlas(spark, str(tmp_path / "one")).load_layout(str(tmp_path / "out"), cell_name_col="tag")
+    cells = lambda t: sorted((r.tag, r.gene_name, r.v) for r in t.query("select tag, gene_name, v from X_data join obs using (cell_id) join var using (gene_id)").collect())
+    assert cells(one) == cells(a) and one.get_obs_df("cell_name").count() == 8
+    assert [tuple(r) for r in one.get_obsm_df("obsm_X_test").collect()] == [(i, float(i), float(-i)) for i in range(8)]
+    turned = [Atlas(spark, str(tmp_path / f"r{k}")).load_layout(str(tmp_path / "out"), "random", seed=s) for k, s in enumerate((3, 3, 4))]
+    order = [[r.tag for r in t.get_obs_df().collect()] for t in turned]
+    assert order[0] == order[1] != order[2] and all(cells(t) == cells(a) for t in turned)
+    assert all(r.dim == int(r.tag[1:]) for r in turned[2].query("select tag, xy_dim_0 as dim from obsm_X_test join obs using (cell_id)".replace("xy_dim_0", "dim_0")).collect())
+    two = Atlas(spark, str(tmp_path / "two")).load_layout([str(tmp_path / "out")] * 2)
+    assert two.describe()["n_cells"] == 16 and two.table("obsm_X_test").count() == 16
+    for wrong in ({"load_type": "other"}, {"cell_name_col": "none"}, {"cell_name_col": "batch"}):
+        with pytest.raises(ValueError):
+            Atlas(spark, str(tmp_path / "w")).load_layout(str(tmp_path / "out"), **wrong)
+    assert a.execute_sql("create table `uns_a.b` as select batch, count(*) as n from obs group by batch") == 2 and a.has_table("uns_a.b")
+    assert sorted(r.n for r in a.query_raw("select n from `uns_a.b`")) == [4, 4] and a.execute_sql("drop table `uns_a.b`") == 0 and not a.has_table("uns_a.b")
+    a.set_verbosity("error")
+    a.set_progress(False)
+    with pytest.raises(ValueError):
+        a.scale()
+    with pytest.raises(ValueError):
+        a.set_verbosity("loud")
