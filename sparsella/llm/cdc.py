@@ -31,8 +31,8 @@ from .common import Rolling, bounded_batches, gathered, mixed, slices, text_colu
 
 #: Least, normal and greatest bytes of a chunk, and bits that must be zero before and after the normal size.
 LEAST, NORMAL, MOST, STRICT, LOOSE = 32, 64, 256, 7, 5
-#: Bytes of text in a range of documents, on average.
-RANGE_BYTES = 4 << 20
+#: Bytes of text in a range of documents, on average, as long as there are not too many ranges: their bounds and heads (two numbers each) pass through the driver. Beyond, ranges grow (190 MB at 100 TB).
+RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 19
 NONE = np.iinfo(np.int64).min  # stands for a null doc_id: it comes last
 
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
@@ -118,9 +118,10 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _bounds(docs: DataFrame, ranges: int) -> list[int]:
+    ranges = min(ranges, MOST_RANGES)
     if ranges < 2:
         return []
-    found = docs.select(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    found = docs.select(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), [i / ranges for i in range(1, ranges)], min(100 * ranges, 1 << 20))).first()[0]
     return sorted(set(found or []))
 
 

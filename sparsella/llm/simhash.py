@@ -8,8 +8,9 @@ pairs (a coordinate difference is at most the distance, by the triangle inequali
 verified. Equal fingerprints are one node, and a bucket gives its spanning links, never all pairs.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like others; repeated
-rows are repeated in the result; rows with a null doc_id are linked, and are no component's name
-unless alone with other nulls (then null); extra columns are left alone.
+rows are repeated in the result; rows with a null doc_id are linked, between others too, and are no
+component's name unless alone with other nulls (then null); doc_ids are below NAMELESS; extra columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import bounded_batches, components, group_starts, mixed, stored, te
 PIVOTS = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: A bucket above this size is searched by enumeration of masks, which is exact too and linear in its size.
 WIDE = 2048
+#: From here on, numbers stand for fingerprints that only rows without a doc_id have: greater than any doc_id, they name no component that holds one.
+NAMELESS = 1 << 62
 
 
 def lowered_words(text: bytes) -> list[bytes]:
@@ -152,7 +155,8 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 2, blocks: int
     """doc_id, fp and component_id, the least doc_id that links of at most radius bits reach."""
     bounded_batches(docs.sparkSession)
     fps = stored(fingerprints(docs, size), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null")
+    nodes = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("fp"), 2)).alias("node"))
     found = components(near_links(nodes, radius, blocks))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = named.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")

@@ -133,6 +133,14 @@ def test_simhash_components(docs, rows):
     assert simhash.near_components(docs.limit(0)).count() == 0
 
 
+def test_a_nameless_row_links_its_neighbours(spark):
+    """Three texts whose fingerprints differ by two bits each; the middle one has no doc_id."""
+    rows = spark.createDataFrame([(0, 5, 0b0000), (1, None, 0b0011), (2, 9, 0b1111), (3, None, 1 << 40 | 1 << 41 | 1 << 42)], "n int, doc_id long, fp long")
+    nodes = rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(simhash.NAMELESS) + F.shiftrightunsigned(F.xxhash64("fp"), 2)).alias("node"))
+    found = {x.node: x.component for x in common.components(simhash.near_links(nodes)).collect()}
+    assert found[9] == 5 and found[5] == 5 and len(found) == 3
+
+
 def test_bucket_search_is_exact_either_way(monkeypatch):
     r = np.random.default_rng(0)
     fps = np.unique(np.concatenate([np.uint64(1) << r.integers(0, 26, 200).astype(np.uint64) ^ np.uint64(1) << r.integers(0, 26, 200).astype(np.uint64), r.integers(0, 1 << 26, 100).astype(np.uint64)]))
