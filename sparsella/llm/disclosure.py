@@ -4,10 +4,10 @@ Base findings are emails, IP addresses, payment cards and phone numbers. Protect
 distinct value, its provider (domain, network, issuer or area, so that values seen once or twice count
 too) and its kind. A term reveals an entity as far as their co-occurrence in documents exceeds chance:
 with n rows, PMI(t; e) = log(n * n_te / (n_t * n_e)), and the share of the entity's information that the
-term discloses is PMI / IC(e), IC(e) = log(n / n_e) (after Sanchez and Batet, 2016). n_te is discounted
-by its standard deviation, so that a few chance meetings reveal nothing. A term that goes with an entity
-in SUPPORT differing contexts (the terms near its first finding in a document, which copies share) and
-discloses THRESHOLD of it or more is a finding of kind `term` wherever it stands; from REMOVE on it is
+term discloses is PMI / IC(e), IC(e) = log(n / n_e) (after Sanchez and Batet, 2016). A term that goes with an entity in SUPPORT
+differing contexts (the terms near its first finding in a document, which copies share), more often than
+chance would bring about for any of the pairs looked at (Chernoff's bound of the Poisson tail, divided by
+their number, below CHANCE), and that discloses THRESHOLD of it or more is a finding of kind `term` wherever it stands; from REMOVE on it is
 removed from sanitised text, below it is generalised to the kind of data that it reveals.
 
 Defined results: null texts are empty; a row without findings has zero counts and empty spans; equal
@@ -17,6 +17,8 @@ columns are left alone, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +27,8 @@ from .common import few, row_key, stored, whole_row
 
 #: Differing contexts that a term needs, shares of an entity's information for a finding and for removal, code points and terms of context on each side, most rows of terms that are broadcast.
 SUPPORT, THRESHOLD, REMOVE, REACH, NEAREST, BROADCAST_ROWS = 3, 0.6, 0.9, 160, 8, 200_000
+#: Probability that any term of a corpus is flagged by chance.
+CHANCE = 0.01
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the base findings. Quantifiers are possessive and starts anchored where that changes no match, so that no text takes quadratic time.
 PATTERNS = {
@@ -110,9 +114,9 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, t
     n = docs.agg(F.count("*").alias("n"))
     counts = docs.select(F.explode(F.array_distinct(_terms(text))).alias("term")).join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     rated = pairs.join(counts, "term").crossJoin(F.broadcast(n))  # one row
-    least = F.col("n_te") - F.sqrt("n_te")
-    pmi, ic = F.log(F.col("n") * least / (F.col("n_t") * F.col("n_e"))), F.log(F.col("n") / F.col("n_e"))
-    rated = rated.withColumn("disclosure", F.when(ic > 0, pmi / ic)).where(F.col("disclosure") >= threshold)
+    pmi, ic = F.log(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))), F.log(F.col("n") / F.col("n_e"))
+    odds = F.col("n_te") * pmi - F.col("n_te") + F.col("n_t") * F.col("n_e") / F.col("n")
+    rated = rated.where(odds >= math.log(max(1, pairs.count()) / CHANCE)).withColumn("disclosure", F.when(ic > 0, pmi / ic)).where(F.col("disclosure") >= threshold)
     return rated.groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.max_by("kind", F.struct("disclosure", F.col("entity"))).alias("reveals"))
 
 

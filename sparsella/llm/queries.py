@@ -114,7 +114,7 @@ _PII = (
     "r AS (SELECT term, m.entity, ne, COUNT(*) AS te FROM m JOIN e ON e.entity = m.entity JOIN d ON d.doc_id = m.doc_id GROUP BY term, m.entity, ne HAVING COUNT(DISTINCT ctx) >= 3), "
     "h AS (SELECT term, COUNT(*) AS nt FROM b GROUP BY term), "
     "c AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM t), "
-    "g AS (SELECT DISTINCT r.term FROM r JOIN h ON h.term = r.term CROSS JOIN c WHERE n > ne AND ln(n * (te - sqrt(te)) / (CAST(nt AS DOUBLE) * ne)) / ln(n / ne) >= 0.6), "
+    "g AS (SELECT DISTINCT r.term FROM r JOIN h ON h.term = r.term CROSS JOIN c WHERE n > ne AND te * ln(n * te / (CAST(nt AS DOUBLE) * ne)) - te + nt * ne / n >= ln((SELECT COUNT(*) FROM r) * 100.0) AND ln(n * te / (CAST(nt AS DOUBLE) * ne)) / ln(n / ne) >= 0.6), "
     f"w AS (SELECT doc_id, regexp_extract_all(text, '{_TERM}') AS ms, string_split_regex(text, '{_TERM}') AS gs FROM t WHERE EXISTS (SELECT 1 FROM g)), "
     "v AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM w), "
     "z AS (SELECT doc_id, ms[i] AS value, SUM(length(gs[i]) + length(ms[i])) OVER (PARTITION BY doc_id ORDER BY i) AS en FROM v), "
