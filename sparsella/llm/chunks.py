@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, gathered, mixed, text_column, trim
 
 #: Bytes of text in a chunk, and entries in a bucket of hashes, on average.
-CHUNK_BYTES, BUCKET_ENTRIES = 4 << 20, 1 << 19
+CHUNK_BYTES, BUCKET_ENTRIES = 4 << 20, 1 << 20
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -92,7 +92,7 @@ def sizes(docs: DataFrame, entries_per_byte: float, chunk_bytes: int = CHUNK_BYT
     """Chunks, partitions and buckets (a power of two) for these texts."""
     n = text_bytes(docs)
     chunks = max(1, math.ceil(n / chunk_bytes))
-    return chunks, max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chunks / 2)), 1 << max(0, math.ceil(math.log2(max(1, n * entries_per_byte / BUCKET_ENTRIES))))
+    return chunks, max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chunks / 2)), 1 << max(0, round(math.log2(max(1, n * entries_per_byte / BUCKET_ENTRIES))))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

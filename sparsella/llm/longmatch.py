@@ -300,7 +300,7 @@ def marked_bytes(base: DataFrame, notes: DataFrame, length: int, anchor: int, bu
 
 def drop_long_matches(docs: DataFrame, length: int = 400, anchor: int = 128, chunk_bytes: int = 2 << 20, hot: int = HOT, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Documents without the bytes of strings of the given length that start anywhere else."""
-    chunks, parts, buckets = sizes(docs, 2.2 / (length - anchor), chunk_bytes)
+    chunks, parts, buckets = sizes(docs, 4.4 / (length - anchor), chunk_bytes)  # an entry has two hashes
     more = max(buckets, 1 << (chunks // 2).bit_length())
     base = packed(docs, chunks, parts, by_id=False)
 
