@@ -2,8 +2,9 @@
 
 A text's score is logistic in bias + sum of term weights + sum over pairs of terms of the inner
 product of their factors, so a pair such as an insult with a group mention weighs more than its two
-terms. Terms are lower-cased runs of letters and digits. Terms that are too rare in the sample, or
-whose shares in the two classes do not differ, get no parameters.
+terms. Terms are lower-cased runs of letters and digits. A term that is too rare in the sample gets no
+parameters, nor does one whose share in the two classes differs neither over all rows nor over those
+that hold a term of the first kind: the latter is how a mention that is neutral alone gets its factors.
 
 The fit takes at most SAMPLE labelled rows outside the held-out fold; every text is scored whole.
 Defined results: null and empty texts have no terms and get the bias; with no labels of both classes
@@ -22,12 +23,25 @@ from .features import labelled, scored, term_features
 SAMPLE, BITS, FACTORS, PASSES, CUT, LEAST, DEVIATION = 20000, 20, 8, 30, 0.5, 4, 3.0
 
 
-def chosen(y: np.ndarray, ends: np.ndarray, features: np.ndarray, bits: int) -> np.ndarray:
-    row = np.repeat(y, np.diff(ends))
+def deviating(y: np.ndarray, row: np.ndarray, features: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each feature's rows are of class 1 more or less often than all rows (y); row: the row of each feature."""
     n = np.bincount(features, minlength=1 << bits).astype(float)
-    hit = np.bincount(features[row == 1], minlength=1 << bits)
+    hit = np.bincount(features, y[row], minlength=1 << bits)
     p = y.mean()
-    return np.flatnonzero((n >= LEAST) & (np.abs(hit - n * p) >= DEVIATION * np.sqrt(n * p * (1 - p))))
+    return (n >= LEAST) & (np.abs(hit - n * p) >= DEVIATION * np.sqrt(n * p * (1 - p))) & (0 < p < 1)
+
+
+def chosen(y: np.ndarray, ends: np.ndarray, features: np.ndarray, bits: int) -> np.ndarray:
+    """Features that deviate over all rows, and those that do over the rows that hold one of these."""
+    row = np.repeat(np.arange(len(y)), np.diff(ends))
+    own = deviating(y, row, features, bits)
+    holds = np.zeros(len(y), bool)
+    holds[row[own[features]]] = True
+    if not holds.any():
+        return np.flatnonzero(own)
+    within = holds[row]
+    number = np.cumsum(holds) - 1
+    return np.flatnonzero(own | deviating(y[holds], number[row[within]], features[within], bits))
 
 
 def outputs(doc, term, texts: int, bias: float, w: np.ndarray, v: np.ndarray):

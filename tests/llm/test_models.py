@@ -66,6 +66,20 @@ def test_interactions_are_learned():
     assert ((out > 0) == y).mean() > 0.95
 
 
+def test_neutral_partner_gets_factors():
+    """Term 0 is toxic only beside term 1, which is as common in clean rows as in toxic ones; term 2 is toxic alone."""
+    r = np.random.default_rng(1)
+    x = r.random((4000, 30)) < 0.3
+    kind = np.arange(4000) % 10
+    x[:, 0], x[:, 2], x[:, 1] = kind < 2, kind == 2, (kind == 0) | (kind > 2) & (r.random(4000) < 4 / 7)
+    y = ((kind == 0) | (kind == 2)).astype(int)
+    row, term = np.nonzero(x)
+    assert fm.deviating(y, row, term, 5)[:3].tolist() == [True, False, True]
+    got = fm.chosen(y, np.cumsum([0, *np.bincount(row, minlength=len(x))]), term, 5)
+    assert {0, 1, 2} <= set(got.tolist()) and len(got) <= 5
+    assert len(fm.chosen(np.zeros(4000, int), np.cumsum([0, *np.bincount(row, minlength=len(x))]), term, 5)) == 0
+
+
 def test_hinge_weights_reach_the_optimum():
     r = np.random.default_rng(1)
     rows = [np.unique(r.integers(0, 20, 6)) for _ in range(60)]
