@@ -112,6 +112,14 @@ class Atlas:
     def drop(self, *names: str) -> None:
         self._commit(dict.fromkeys(names))
 
+    def clone(self, path: str) -> Atlas:
+        """A new atlas that begins with this one's tables. Versions are never rewritten, so both share their files."""
+        other = Atlas(self.spark, path)
+        if other.exists():
+            raise FileExistsError(path)
+        other._commit(dict(self.tables))
+        return other
+
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise ValueError(f"no table {name}; there are {self.table_names()}")
@@ -407,8 +415,10 @@ class Atlas:
         columns = [c for c in df.columns if c != "cell_id"][:n_components]
         return df.select(F.col("cell_id").alias("cell"), F.array(*[F.col(c).cast("double") for c in columns]).alias("values"))
 
-    def kmeans(self, use_rep: str = "X_pca", n_components: int = 30, n_clusters: int = 10, seed: int = 0) -> None:
-        labels, centers = cluster.kmeans(self.points(use_rep, n_components), n_clusters, seed)
+    def kmeans(self, use_rep: str = "X_umap", n_components: int = 30, n_clusters: int = 10, seed: int = 0, batch_size: int = 2048, fit_batches: int | None = 1000) -> None:
+        """Mini-batch k-means on at most fit_batches batches; fit_batches None: Lloyd's on all points."""
+        points = self.points(use_rep, n_components)
+        labels, centers = cluster.kmeans(points, n_clusters, seed) if fit_batches is None else cluster.minibatch_kmeans(points, n_clusters, seed, batch_size, fit_batches)
         named = labels.select(F.col("cell").alias("cell_id"), F.col("cluster_id").alias("kmeans"))
         self.put(obs_cluster=labels.withColumnRenamed("cell", "cell_id"), kmeans_centers=centers, obs=matrix.with_columns_from(self.table("obs"), named, "cell_id"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,59 @@ def kmeans(points: DataFrame, n_clusters: int = 10, seed: int = 0, iterations: i
     return assigned(points, centers), points.sparkSession.createDataFrame(long, "cluster_id int, pc_index int, value double")
 
 
+def minibatch_kmeans(points: DataFrame, n_clusters: int = 10, seed: int = 0, batch_size: int = 2048, fit_batches: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """As kmeans, with centers fitted on at most fit_batches batches of batch_size points (Sculley, 2010): a hash orders the points, the first batch seeds the centers, each further one moves them. All points get labels.
+
+    At most batch_size x fit_batches points pass the driver, partition by partition.
+    """
+    checked(points)
+    rows = points.select(F.col("cell").cast("long").alias("cell"), F.col("values").cast("array<double>").alias("values"))
+    order = F.xxhash64("cell", F.lit(seed))
+    taken = rows.select("cell", "values").orderBy(order, "cell").limit(batch_size * fit_batches)
+    rng, centers, weight, held = np.random.default_rng(seed), None, np.zeros(n_clusters), []
+
+    def move(batch: np.ndarray) -> None:
+        nonlocal centers
+        if centers is None:
+            centers = _spread(batch, n_clusters, rng)
+        near = ((batch[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        n = np.bincount(near, minlength=n_clusters)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, near, batch)
+        weight[:] += n
+        seen = n > 0
+        centers[seen] += (sums[seen] - n[seen, None] * centers[seen]) / weight[seen, None]
+
+    for r in taken.select("values").toLocalIterator():
+        held.append(r[0])
+        if len(held) == batch_size:
+            move(np.array(held))
+            held = []
+    if held and (centers is not None or len(held) >= n_clusters):
+        move(np.array(held))
+    if centers is None:
+        raise ValueError("fewer points than clusters")
+    centers = np.array(sorted(centers.tolist()))
+    long = [(i, j, float(v)) for i, c in enumerate(centers) for j, v in enumerate(c)]
+    return assigned(points, centers), points.sparkSession.createDataFrame(long, "cluster_id int, pc_index int, value double")
+
+
+def _spread(x: np.ndarray, k: int, rng: np.random.Generator, tries: int = 8) -> np.ndarray:
+    """k of the points, far from each other: each is drawn by its squared distance from those before, the best of some draws (k-means++)."""
+    if len(x) < k:
+        raise ValueError("fewer points in the first batch than clusters")
+    out = [x[rng.integers(len(x))]]
+    d = ((x - out[0]) ** 2).sum(axis=1)
+    while len(out) < k:
+        p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
+        picked = rng.choice(len(x), tries, p=p)
+        draws = [np.minimum(d, ((x - x[i]) ** 2).sum(axis=1)) for i in picked]
+        best = int(np.argmin([v.sum() for v in draws]))
+        out.append(x[picked[best]])
+        d = draws[best]
+    return np.array(out)
+
+
 def nearest(points: DataFrame, k: int, metric_digits: int = 9, block: int = 4096) -> DataFrame:
     """cell, neighbor, rank (from 1) and distance of each point's k nearest others, exactly; equal distances by id.
 
@@ -86,17 +139,31 @@ def sample_of(points: DataFrame, n: int, seed: int) -> tuple[np.ndarray, np.ndar
     return frame["cell"].to_numpy(), _stacked(frame["values"])
 
 
-def neighbours_of(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and distances of k nearest others, block by block."""
+def neighbours_of(spark: SparkSession, x: np.ndarray, k: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and distances of the k nearest others of a bounded sample: its rows are broadcast once, executors take `step` of them at a time."""
     k = min(k, len(x) - 1)
-    index, distance, squares = np.empty((len(x), k), np.int64), np.empty((len(x), k)), (x * x).sum(axis=1)
-    for lo in range(0, len(x), 1024):
-        d = squares[lo : lo + 1024, None] + squares[None] - 2 * x[lo : lo + 1024] @ x.T
-        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-        part = np.argpartition(d, k - 1, axis=1)[:, :k]
-        best = np.take_along_axis(d, part, 1)
-        order = np.argsort(best, axis=1, kind="stable")
-        index[lo : lo + 1024], distance[lo : lo + 1024] = np.take_along_axis(part, order, 1), np.sqrt(np.maximum(np.take_along_axis(best, order, 1), 0))
+    held = spark.sparkContext.broadcast(x)
+
+    def run(batches):
+        x = held.value
+        squares = (x * x).sum(axis=1)
+        for batch in batches:
+            for lo in batch.column(0).to_pylist():
+                d = squares[lo : lo + step, None] + squares[None] - 2 * x[lo : lo + step] @ x.T
+                d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+                part = np.argpartition(d, k - 1, axis=1)[:, :k]
+                best = np.take_along_axis(d, part, 1)
+                order = np.argsort(best, axis=1, kind="stable")
+                near, far = np.take_along_axis(part, order, 1).astype(np.int32), np.sqrt(np.maximum(np.take_along_axis(best, order, 1), 0))
+                yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([near.tobytes()]), pa.array([far.tobytes()])], ["lo", "near", "far"])
+
+    steps = -(-len(x) // step)
+    found = spark.range(0, steps * step, step, min(steps, 4096)).mapInArrow(run, "lo long, near binary, far binary")
+    index, distance = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+    for r in found.toLocalIterator():
+        rows = slice(r["lo"], min(r["lo"] + step, len(x)))
+        index[rows], distance[rows] = np.frombuffer(r["near"], np.int32).reshape(-1, k), np.frombuffer(r["far"]).reshape(-1, k)
+    held.destroy()
     return index, distance
 
 
@@ -183,14 +250,14 @@ class Network:
 def graph_clustering(points: DataFrame, fit_sample_n: int = 200_000, n_neighbors: int = 15, resolution: float = 1.0, epochs: int = 50, random_state: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """Labels (cell, cluster_id) of all cells, parameters, evaluation, and the evaluation as a dict.
 
-    The teacher's sample is bounded by fit_sample_n and lies on the driver; an exact neighbour search
-    there is quadratic, so choose a few thousand for interactive use.
+    The teacher's sample is bounded by fit_sample_n and lies on the driver; its exact neighbours are
+    found on the executors, with quadratic work.
     """
     checked(points)
     cells, x = sample_of(points, fit_sample_n, random_state)
     if len(cells) < 3:
         raise ValueError("too few cells to cluster")
-    labels = louvain(neighbours_of(x, n_neighbors)[0], len(x), resolution, random_state)
+    labels = louvain(neighbours_of(points.sparkSession, x, n_neighbors)[0], len(x), resolution, random_state)
     mean, std = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z, hot = (x - mean) / std, np.eye(labels.max() + 1)[labels]
     held = np.random.default_rng(random_state).permutation(len(x)) % 10 == 0

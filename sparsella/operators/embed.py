@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import Network, _stacked, checked, neighbours_of, sample_of
@@ -70,16 +70,16 @@ def layout(x: np.ndarray, index: np.ndarray, distance: np.ndarray, spread: float
     return y
 
 
-def neighbour_overlap(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    a, b = neighbours_of(x, k)[0], neighbours_of(y, k)[0]
+def neighbour_overlap(spark: SparkSession, x: np.ndarray, y: np.ndarray, k: int) -> float:
+    a, b = neighbours_of(spark, x, k)[0], neighbours_of(spark, y, k)[0]
     return float(np.mean([len(np.intersect1d(p, q)) / len(p) for p, q in zip(a, b, strict=True)]))
 
 
-def trustworthiness(x: np.ndarray, y: np.ndarray, k: int) -> float:
+def trustworthiness(spark: SparkSession, x: np.ndarray, y: np.ndarray, k: int) -> float:
     n = len(x)
     k = min(k, (n - 1) // 2)
     rank = np.argsort(np.argsort(((x[:, None] - x[None]) ** 2).sum(axis=2), axis=1), axis=1)
-    near = neighbours_of(y, k)[0]
+    near = neighbours_of(spark, y, k)[0]
     over = np.maximum(np.take_along_axis(rank, near, 1) - k, 0).sum()
     return float(1 - 2 / (n * k * (2 * n - 3 * k - 1)) * over)
 
@@ -94,14 +94,15 @@ def umap(points: DataFrame, n_components: int = 2, n_neighbors: int = 15, min_di
     _, x = sample_of(points, fit_sample_n, random_state)
     if len(x) < 4:
         raise ValueError("too few cells to embed")
-    index, distance = neighbours_of(x, n_neighbors)
+    spark = points.sparkSession
+    index, distance = neighbours_of(spark, x, n_neighbors)
     y = layout(x, index, distance, spread, min_dist, epochs, random_state)
     mean, std, at, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0), y.mean(axis=0), np.where(y.std(axis=0) > 0, y.std(axis=0), 1.0)
     z, t = (x - mean) / std, (y - at) / scale
     student = Network(z.shape[1], 2, seed=random_state, classes=False).fit(z, t, student_epochs, seed=random_state)
     part = slice(0, min(len(x), 1000))
     out = student(z[part]) * scale + at
-    scores = {"trustworthiness": trustworthiness(x[part], out, n_neighbors), "knn_overlap": neighbour_overlap(x[part], out, n_neighbors), "teacher_mse": float(((student(z) - t) ** 2).mean())}
+    scores = {"trustworthiness": trustworthiness(spark, x[part], out, n_neighbors), "knn_overlap": neighbour_overlap(spark, x[part], out, n_neighbors), "teacher_mse": float(((student(z) - t) ** 2).mean())}
 
     def run(batches):
         for batch in batches:
@@ -109,7 +110,6 @@ def umap(points: DataFrame, n_components: int = 2, n_neighbors: int = 15, min_di
             p = student((v - mean) / std) * scale + at if len(v) else np.empty((0, 2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, 0].astype(np.float32)), pa.array(p[:, 1].astype(np.float32))], ["cell", "umap1", "umap2"])
 
-    spark = points.sparkSession
     coords = points.select(F.col("cell").cast("long").alias("cell"), F.col("values").cast("array<double>").alias("values")).mapInArrow(run, "cell long, umap1 float, umap2 float")
     params = {"n_neighbors": n_neighbors, "min_dist": min_dist, "spread": spread, "fit_sample_n": fit_sample_n, "epochs": epochs, "student_epochs": student_epochs, "random_state": random_state}
     return coords, spark.createDataFrame([(k, str(v)) for k, v in params.items()], "param_name string, param_value string"), spark.createDataFrame(list(scores.items()), "metric_name string, metric_value double")

@@ -48,9 +48,10 @@ def violin_values(x: DataFrame, obs: DataFrame, genes: DataFrame, groupby: str,
     return rows.select("label", "cell_id", "gene_id", F.coalesce("v", fill).alias("value"))
 
 
-def quartiles(values: DataFrame, by: list[str]) -> DataFrame:
-    """Quartiles and Tukey whiskers (the last value within 1.5 quartile ranges) of column value."""
-    q = values.groupBy(*by).agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.5).alias("q2"), F.percentile("value", 0.75).alias("q3"))
+def quartiles(values: DataFrame, by: list[str], accuracy: int | None = None) -> DataFrame:
+    """Quartiles and Tukey whiskers (the last value within 1.5 quartile ranges) of column value. accuracy: take approximate quartiles, off by 1/accuracy of the rows at most, from a sketch of bounded size instead of all values."""
+    at = F.percentile if accuracy is None else lambda c, p: F.percentile_approx(c, p, accuracy)
+    q = values.groupBy(*by).agg(*[at("value", p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     joined = values.join(F.broadcast(q), by)
     return joined.groupBy(*by, "q1", "q2", "q3").agg(F.min(F.when(F.col("value") >= F.col("q1") - reach, F.col("value"))).alias("low"), F.max(F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))).alias("high"))
@@ -67,11 +68,18 @@ def highest_expressed(x: DataFrame, n_cells: int, n_top: int = 20, all_cells: bo
     return shares.select("gene_id", (F.col("s") / (F.lit(n_cells) if all_cells else F.col("k"))).alias("mean_percent")).orderBy(F.desc("mean_percent"), "gene_id").limit(n_top)
 
 
-def highest_expressed_box(x: DataFrame, obs: DataFrame, n_cells: int, n_top: int = 20) -> DataFrame:
+def highest_expressed_values(x: DataFrame, obs: DataFrame, n_cells: int, n_top: int = 20, sample_cells: int | None = None, seed: int = 0) -> DataFrame:
+    """gene_id and percent of its cell's total, absent entries filled, for the highest expressed genes and all cells or a sample of them."""
     top = highest_expressed(x, n_cells, n_top)
-    shares = percent_of_total(x).join(F.broadcast(top), "gene_id", "left_semi")
-    grid = obs.select("cell_id").crossJoin(F.broadcast(top.select("gene_id"))).join(shares, ["cell_id", "gene_id"], "left").select("gene_id", F.coalesce("value", F.lit(0.0)).alias("value"))
-    return quartiles(grid, ["gene_id"]).join(F.broadcast(top), "gene_id")
+    cells = obs.select("cell_id") if sample_cells is None else sampled(obs.select("cell_id"), sample_cells, "cell_id", seed)
+    shares = percent_of_total(x).join(F.broadcast(top), "gene_id", "left_semi")  # n_top rows
+    return cells.crossJoin(F.broadcast(top.select("gene_id"))).join(shares, ["cell_id", "gene_id"], "left").select("gene_id", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def highest_expressed_box(x: DataFrame, obs: DataFrame, n_cells: int, n_top: int = 20, sample_cells: int | None = None, seed: int = 0, accuracy: int | None = None) -> DataFrame:
+    """Quartiles and whiskers of highest_expressed_values, exact or approximate, with the mean percent over all cells."""
+    values = highest_expressed_values(x, obs, n_cells, n_top, sample_cells, seed)
+    return quartiles(values, ["gene_id"], accuracy).join(F.broadcast(highest_expressed(x, n_cells, n_top)), "gene_id")
 
 
 def outliers(values: DataFrame, boxes: DataFrame, by: list[str], most: int, seed: int = 0) -> DataFrame:

@@ -496,7 +496,7 @@ def genes_without_rows(s, d):
     return matrix.unknown_ids(var_of(s, d).select("gene_id"), x_of(s, d).where("v >= 45"), "gene_id")
 
 
-@query("WITH a AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS e FROM embeddings WHERE vec_id < 200), p AS (SELECT a.vec_id AS cell, b.vec_id AS neighbor, SUM((CAST(a.e AS DOUBLE) - CAST(b.e AS DOUBLE)) * (CAST(a.e AS DOUBLE) - CAST(b.e AS DOUBLE))) AS d2 FROM a JOIN a b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY ROUND(d2, 9), neighbor) AS rank FROM p) SELECT cell, neighbor, rank FROM r WHERE rank <= 15".replace(" WHERE vec_id < 200", ""))
+@query("WITH a AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS e FROM embeddings), p AS (SELECT a.vec_id AS cell, b.vec_id AS neighbor, SUM((CAST(a.e AS DOUBLE) - CAST(b.e AS DOUBLE)) * (CAST(a.e AS DOUBLE) - CAST(b.e AS DOUBLE))) AS d2 FROM a JOIN a b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY ROUND(d2, 9), neighbor) AS rank FROM p) SELECT cell, neighbor, rank FROM r WHERE rank <= 15")
 def knn_graph(s, d):
     return cluster.nearest(table(s, d, "embeddings").select(F.col("vec_id").alias("cell"), F.col("embedding").alias("values")), 15).select("cell", "neighbor", F.col("rank").cast("long").alias("rank"))
 

@@ -14,6 +14,15 @@ from ..functions.prefix import dense_number
 SAMPLE_CELLS, MOST_LOG, MOST_LOG_P95 = 5000, 50.0, 10.0
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share; where it is unset, one of this machine if Spark runs on it alone, else an error."""
+    if at := spark.conf.get("spark.checkpoint.dir", None):
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "/tmp/checkpoints"
+
+
 def is_count_scale(x: DataFrame, cells: int = SAMPLE_CELLS) -> bool:
     """Counts, rather than logarithms: among the non-zero values of the first cells, the greatest is above 50 or the 95th percentile above 10."""
     first = x.agg(F.min("cell_id")).first()[0] or 0

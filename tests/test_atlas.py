@@ -34,7 +34,7 @@ def test_workflow(atlas, spark):
         atlas.pca(2)
     atlas.build_read_index(use_data="data_scale")
     atlas.pca(2)
-    atlas.kmeans(n_clusters=2)
+    atlas.kmeans("X_pca", n_clusters=2)
     atlas.rank_genes_groups("label", n_genes=3)
     counts = atlas.manual_annotate_clusters({"0": "zero"}, "kmeans", unknown_label="rest")
     assert sum(r.n for r in counts.collect()) == 30
@@ -108,3 +108,14 @@ def test_layout_round_trip(spark, tmp_path):
         a.scale()
     with pytest.raises(ValueError):
         a.set_verbosity("loud")
+
+
+def test_clone_shares_tables_and_changes_alone(spark, tmp_path):
+    x = spark.createDataFrame([(0, 0, 60.0), (1, 1, 3.0), (1, 0, 7.0)], "cell_id long, gene_id long, v double")
+    obs, var = spark.range(2).withColumnRenamed("id", "cell_id"), spark.range(2).withColumnRenamed("id", "gene_id").selectExpr("gene_id", "'g' as gene_name")
+    a = Atlas(spark, str(tmp_path / "a")).load(obs, var, x)
+    b = a.clone(str(tmp_path / "b"))
+    b.filter_cells(min_counts=20)
+    assert b.has_column("obs", "filter_cells") and not a.has_column("obs", "filter_cells") and b.tables["X_data"] == a.tables["X_data"]
+    with pytest.raises(FileExistsError):
+        a.clone(str(tmp_path / "b"))

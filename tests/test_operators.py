@@ -195,3 +195,20 @@ def test_readers(spark, tmp_path):
     assert sorted(r.cell_id for r in o.collect()) == [0, 1, 2, 3] and sorted(r.v for r in m.collect()) == [3.0, 3.0, 60.0, 60.0]
     with pytest.raises(ValueError):
         readers.load_any(spark, "x.h5ad")
+
+
+def test_minibatch_kmeans_finds_clouds_and_labels_all(spark):
+    rows = [(i, [float(i % 3) * 50 + (i % 7) / 10, float(i % 5)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "cell long, values array<double>")
+    labels, centers = cluster.minibatch_kmeans(df, 3, seed=2, batch_size=64, fit_batches=6)
+    assert {(r["cell"], r["cluster_id"]) for r in labels.collect()} == {(i, i % 3) for i in range(900)} and centers.count() == 6
+    with pytest.raises(ValueError):
+        cluster.minibatch_kmeans(df.limit(2), 3)
+
+
+def test_neighbours_on_executors_equal_plain_ones(spark):
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    index, distance = cluster.neighbours_of(spark, x, 5, step=64)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert (index == np.argsort(d, axis=1)[:, :5]).all() and np.allclose(distance, np.sort(d, axis=1)[:, :5])

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 from sparsella.plans import queries as plans
+from sparsella.plans import sessions  # noqa: F401  (adds its queries to plans)
 
 HERE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(HERE), reason="the shared tables are not there")
-SOME = ["matrix_indptr", "qc_cell_metrics", "filter_genes", "normalize_log1p", "hvg_seurat_topn", "scale_center_scale", "read_index_matrix", "covariance_matrix", "rank_scores_rest", "rank_topn_updown", "dotplot_scaled", "highest_expr_box", "rename_duplicated", "knn_graph", "rank_bh_bonferroni"]
+SOME = ["matrix_indptr", "qc_cell_metrics", "filter_genes", "normalize_log1p", "hvg_seurat_topn", "scale_center_scale", "read_index_matrix", "covariance_matrix", "rank_scores_rest", "rank_topn_updown", "dotplot_scaled", "highest_expr_box", "rename_duplicated", "knn_graph", "rank_bh_bonferroni", "atlas_get_obsm", "atlas_execute_sql", "atlas_random_round_trip", "stream_appended", "shuffled_batches", "pca_covariance", "kmeans_minibatch_blobs", "t_pvalues", "highest_expr_sampled"]
 
 
 @pytest.mark.parametrize("name", SOME)
