@@ -3,8 +3,10 @@ text columns, storage that every executor shares, and connected components."""
 
 from __future__ import annotations
 
+import contextvars
 import ctypes
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,47 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage is cut and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+#: Paths of what the operator that runs in this thread has stored, where they are to be deleted after it.
+_PASSING: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that no plan needs any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _written(df: DataFrame, what: str) -> str:
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
+    return path
+
+
+def stored(df: DataFrame, what: str = "step") -> DataFrame:
+    """df written as Parquet to the shared folder and read again: its lineage is cut and lost executors cost no recomputation.
+
+    It also frees joins of a hot key: Spark knows the size of a stored table, and splits a hot key of the other side, which
+    it cannot where an aggregate lies between the join and its shuffle.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df, what))
+
+
+def settled(make: Callable[[], DataFrame], what: str = "step", spent: list[str] | None = None) -> DataFrame:
+    """make()'s rows, stored; what it stored on its way is deleted once they are whole, and so are the tables
+    in spent, which then names the new one: a chain of steps hands one list on and leaves only its last table."""
+    passing = [] if spent is None else spent
+    token = _PASSING.set(passing)
+    try:
+        df = make()
+    finally:
+        _PASSING.reset(token)
+    path = _written(df, what)
+    for old in passing:
+        forget(df.sparkSession, old)
+    passing[:] = [path]
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Most rows of keys that are broadcast.
@@ -206,21 +243,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Of undirected edges (a, b): one row (node, component) for each node, component the least node it reaches.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014); each is a minimum by
-    node and a join, so a hub costs no more than its edges. Every step is stored in the shared folder.
+    node and a join. Every step is stored in the shared folder: minima are combined before their shuffle,
+    and as they are stored, a hub's edges are split over tasks in the join. What is stored is deleted at the end.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(small, "edges")
-        was, state = state, tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(a as decimal(38,0)) + b)")).first())
-        if state == was:
-            break
-    else:
+
+    def settle() -> DataFrame:
+        now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        state = None
+        for _ in range(rounds):
+            both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+            large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "edges")
+            least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
+            now = stored(small, "edges")
+            was, state = state, tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(a as decimal(38,0)) + b)")).first())
+            if state == was:
+                return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+    return settled(settle, "components")

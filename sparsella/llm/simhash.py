@@ -158,5 +158,5 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 2, blocks: int
     nodes = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("fp"), 2)).alias("node"))
     found = components(near_links(nodes, radius, blocks))
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id")))
+    named = stored(named.withColumn("component_id", F.when(F.col("component_id") < NAMELESS, F.col("component_id"))), "named")  # stored: the rows of a hot fingerprint are split
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
