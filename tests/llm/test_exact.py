@@ -164,6 +164,37 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 130)}
 
 
+def test_what_components_store_on_their_way_is_deleted(spark):
+    import os
+
+    at = common.shared_dir(spark)
+    before, spent = set(os.listdir(at)), []
+    found = common.settled(lambda: common.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")), "first", spent)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1)]
+    assert {x.split("-")[0] for x in set(os.listdir(at)) - before} == {"first"}
+    assert common.settled(lambda: found.where("node > 1"), "second", spent).count() == 2
+    assert {x.split("-")[0] for x in set(os.listdir(at)) - before} == {"second"}
+
+
+def test_hot_keys_are_split(spark):
+    """A third of all rows with one key: the join splits them over tasks."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 9_973).cast("long").alias("bucket"), F.xxhash64("id").alias("set_id"), F.xxhash64("id", F.lit(1)).alias("fp")).repartition(8)
+        sized = neardup._sized(rows)
+        assert sized.where("bucket = 7").agg(F.count("*"), F.min("n"), F.max("n")).first()[0] > 13_000
+        sized.collect()
+        assert "skew=true" in sized._jdf.queryExecution().executedPlan().toString()
+        star = spark.range(1, 40_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        assert common.components(star).where("component = 0").count() == 40_001
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_near_duplicates_keep_one_of_each(docs, rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
