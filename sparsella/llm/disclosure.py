@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import few, row_key, stored, whole_row
+from .common import few, row_key, settled, stored, whole_row
 
 #: Differing contexts that a term needs, shares of an entity's information for a finding and for removal, code points and terms of context on each side, most rows of terms that are broadcast.
 SUPPORT, THRESHOLD, REMOVE, REACH, NEAREST, BROADCAST_ROWS = 3, 0.6, 0.9, 160, 8, 200_000
@@ -123,7 +123,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT, t
 def findings(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """key, kind (4: term), start, end, disclosure and reveals of base findings and disclosing terms."""
     base = stored(base_findings(docs), "base")
-    terms = stored(disclosing_terms(docs, base, support, threshold), "terms")
+    terms = settled(lambda: disclosing_terms(docs, base, support, threshold), "terms")
     found = base.select("key", "kind", "start", "end", F.lit(None).cast("double").alias("disclosure"), F.col("kind").alias("reveals"))
     n_terms = terms.count()
     if not n_terms:
