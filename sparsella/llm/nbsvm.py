@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_column
+from .common import slices, text_column, trim
 from .features import labelled, scored, style_features
 
 #: Labelled rows that the fit may take, hash bits of features, weight of hinge losses, passes, cut of predicted.
@@ -24,17 +24,22 @@ SAMPLE, BITS, COST, PASSES, CUT = 8000, 18, 1.0, 12, 0.3
 
 
 def log_ratios(y: np.ndarray, ends: np.ndarray, features: np.ndarray, bits: int, smooth: float = 1.0) -> np.ndarray:
-    row = np.repeat(y, np.diff(ends))
-    p, q = (np.bincount(features[row == c], minlength=1 << bits) + smooth for c in (1, 0))
+    counts = np.zeros((2, 1 << bits))
+    for lo in range(0, len(y), 256):  # a few rows at a time: this runs on the driver
+        hi = min(lo + 256, len(y))
+        row = np.repeat(y[lo:hi], np.diff(ends[lo : hi + 1]))
+        for c in (0, 1):
+            counts[c] += np.bincount(features[ends[lo] : ends[hi]][row == c], minlength=1 << bits)
+    q, p = counts + smooth
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
 def hinge_weights(y: np.ndarray, ends: np.ndarray, features: np.ndarray, scale: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 0) -> np.ndarray:
     """Weights w and bias (last) that minimise |w|^2/2 + cost * sum of class-balanced hinge losses on scaled, unit-length rows."""
-    rows = []
+    rows, values = [], np.empty(len(features))  # one array: thousands of small ones stay with the process when they are freed
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         x = scale[features[a:b]]
-        rows.append((features[a:b], x / max(np.sqrt(x @ x), 1e-12)))
+        rows.append((features[a:b], np.divide(x, max(np.sqrt(x @ x), 1e-12), out=values[a:b])))
     sign = np.where(y == 1, 1.0, -1.0)
     upper = cost * np.where(y == 1, len(y) / max(1, 2 * (y == 1).sum()), len(y) / max(1, 2 * (y == 0).sum()))
     w, bias, alpha, rng = np.zeros(len(scale)), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
@@ -71,8 +76,16 @@ def logistic(m: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, bits: int = BITS):
-    """A function of (text numbers, features, texts) that gives scores."""
-    y, ends, features = labelled(docs, labels, label, style_features, bits, most)
+    """A function of (text numbers, features, texts) that gives scores. What the fit held is given back to the driver's system."""
+    sample = labelled(docs, labels, label, style_features, bits, most)
+    trim()
+    score = _fitted(*sample, bits)
+    del sample
+    trim()
+    return score
+
+
+def _fitted(y: np.ndarray, ends: np.ndarray, features: np.ndarray, bits: int):
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return lambda doc, feature, texts: np.full(texts, share)
@@ -83,8 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     held, rest = (part, ~part) if not part.all() else (part, part)
     keep = ~row if not part.all() else np.ones(len(row), bool)
     lengths = np.diff(ends)
-    scale = log_ratios(y[rest], np.cumsum([0, *lengths[rest]]), features[keep], bits)
-    w = hinge_weights(y[rest], np.cumsum([0, *lengths[rest]]), features[keep], scale)
+    learned = features[keep]
+    scale = log_ratios(y[rest], np.cumsum([0, *lengths[rest]]), learned, bits)
+    w = hinge_weights(y[rest], np.cumsum([0, *lengths[rest]]), learned, scale)
     at = np.repeat(np.arange(held.sum()), lengths[held])
     a, b = logistic(margins(w, scale, at, features[row], int(held.sum())), y[held])
     w, scale = w.astype(np.float32), scale.astype(np.float32)

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparsella.llm import features, fm, mixing, nbsvm
 from sparsella.llm import training_order as order
+from sparsella.llm.common import trim
 
 SF = "/root/testdata/sf0.001"
 
@@ -274,6 +276,31 @@ def test_margins_by_plain_sums():
     assert np.allclose(nbsvm.margins(w, scale, np.repeat([0, 1, 2], [2, 2, 1]), flat, 3), want)
 
 
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="memory can't be read here")
+def test_the_fit_leaves_the_driver_no_memory(monkeypatch):
+    """Of a fit on 13 MB of features nearly nothing stays with the process, and the class counts take little beside them."""
+    r = np.random.default_rng(1)
+    sizes, y = r.integers(200, 1500, 4000), r.integers(0, 2, 4000)
+
+    def sample(*_):
+        parts = [np.frombuffer(r.integers(0, 1 << nbsvm.BITS, n).astype(np.int32).tobytes(), np.int32) for n in sizes.tolist()]
+        return y, np.cumsum([0, *sizes]), np.concatenate(parts)
+
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    monkeypatch.setattr(nbsvm, "labelled", sample)
+    trim()
+    before = held()
+    score = nbsvm.fit(None, None)
+    assert held() - before < 20  # 44 MB stayed before it was given back
+    assert len(score(np.array([0, 0]), np.array([3, 9]), 1)) == 1
+    _, ends, flat = sample()
+    tracemalloc.start()
+    nbsvm.log_ratios(y, ends, flat, nbsvm.BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(flat)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the shared tables are not there")
 def test_pipeline(spark):
     """All five stages, on documents with nulls, repeated rows and a clashing column; then on an empty table."""
