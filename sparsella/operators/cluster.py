@@ -134,89 +134,179 @@ def nearest(points: DataFrame, k: int, metric_digits: int = 9, block: int = 4096
 
 
 def sample_of(points: DataFrame, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most n points on the driver, the same at every run."""
-    frame = points.select(F.col("cell").cast("long").alias("cell"), F.col("values").cast("array<double>").alias("values")).orderBy(F.xxhash64(F.col("cell") + seed), "cell").limit(n).toPandas()
-    return frame["cell"].to_numpy(), _stacked(frame["values"])
+    """At most n points on the driver, the same at every run: those of least hash, in its order.
+
+    Only points whose hash is below a bound that some more than n are expected to meet travel, packed by batch.
+    """
+    rows = points.select(F.col("cell").cast("long").alias("cell"), F.col("values").cast("array<double>").alias("values"))
+    rows = rows.select("cell", "values", F.xxhash64(F.col("cell") + seed).alias("h"))
+    total, wanted = rows.count(), n + 6 * int(n**0.5) + 100
+
+    def pack(batches):
+        for batch in batches:
+            cell, values, h = (batch.column(i) for i in range(3))
+            width = np.unique(np.diff(values.offsets.to_numpy()))
+            if values.null_count or len(width) > 1:
+                raise ValueError("points differ in length")
+            if len(width):
+                yield pa.RecordBatch.from_arrays([pa.array([int(width[0])]), *[pa.array([np.ascontiguousarray(c.to_numpy(zero_copy_only=False)).tobytes()]) for c in (h, cell, values.flatten())]], ["width", "h", "cells", "values"])
+
+    while True:
+        below = rows if wanted >= total else rows.where(F.col("h") < int(2**64 * wanted / total) - 2**63)
+        found = below.mapInArrow(pack, "width long, h binary, cells binary, values binary").collect()
+        h, cells = (np.concatenate([np.frombuffer(r[c], np.int64) for r in found] or [np.empty(0, np.int64)]) for c in ("h", "cells"))
+        if len(h) >= n or wanted >= total:
+            break
+        wanted *= 2
+    if len({r["width"] for r in found}) > 1:
+        raise ValueError("points differ in length")
+    order = np.lexsort((cells, h))[:n]
+    x = np.concatenate([np.frombuffer(r["values"]).reshape(-1, r["width"]) for r in found]) if found else np.empty((0, 0))
+    return cells[order], x[order]
+
+
+#: Distances that an executor holds at once.
+TILE = 1 << 20
+
+
+def _least(d: np.ndarray, k: int, look: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and values of the k least of each row, in order; the first of equal ones. The k-th least of some columns bounds that of all."""
+    bound = np.partition(d[:, :look], k - 1, axis=1)[:, k - 1] if d.shape[1] > look else np.full(len(d), np.inf)
+    near, far = np.empty((len(d), k), np.int32), np.empty((len(d), k))
+    for i, row in enumerate(d):
+        at = np.flatnonzero(row <= bound[i])
+        at = at[np.argsort(row[at], kind="stable")[:k]]
+        near[i], far[i] = at, row[at]
+    return near, far
 
 
 def neighbours_of(spark: SparkSession, x: np.ndarray, k: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and distances of the k nearest others of a bounded sample: its rows are broadcast once, executors take `step` of them at a time."""
+    """Indices and distances of the k nearest others of a bounded sample: its rows are broadcast once, executors take `step` of them at a time and hold TILE distances."""
     k = min(k, len(x) - 1)
     held = spark.sparkContext.broadcast(x)
 
     def run(batches):
         x = held.value
-        squares = (x * x).sum(axis=1)
+        squares, rows = (x * x).sum(axis=1), max(1, TILE // len(x))
         for batch in batches:
             for lo in batch.column(0).to_pylist():
-                d = squares[lo : lo + step, None] + squares[None] - 2 * x[lo : lo + step] @ x.T
-                d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
-                part = np.argpartition(d, k - 1, axis=1)[:, :k]
-                best = np.take_along_axis(d, part, 1)
-                order = np.argsort(best, axis=1, kind="stable")
-                near, far = np.take_along_axis(part, order, 1).astype(np.int32), np.sqrt(np.maximum(np.take_along_axis(best, order, 1), 0))
+                found = []
+                for at in range(lo, min(lo + step, len(x)), rows):
+                    part = x[at : min(at + rows, lo + step)]
+                    d = (-2 * part) @ x.T
+                    d += squares
+                    d += squares[at : at + len(part), None]
+                    d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
+                    found.append(_least(d, k))
+                near, far = np.concatenate([f[0] for f in found]), np.sqrt(np.maximum(np.concatenate([f[1] for f in found]), 0))
                 yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([near.tobytes()]), pa.array([far.tobytes()])], ["lo", "near", "far"])
 
     steps = -(-len(x) // step)
     found = spark.range(0, steps * step, step, min(steps, 4096)).mapInArrow(run, "lo long, near binary, far binary")
-    index, distance = np.empty((len(x), k), np.int64), np.empty((len(x), k))
-    for r in found.toLocalIterator():
+    index, distance = np.empty((len(x), k), np.int32), np.empty((len(x), k))
+    for r in found.collect():  # 12 bytes a neighbour; an iterator would run its tasks one by one
         rows = slice(r["lo"], min(r["lo"] + step, len(x)))
         index[rows], distance[rows] = np.frombuffer(r["near"], np.int32).reshape(-1, k), np.frombuffer(r["far"]).reshape(-1, k)
     held.destroy()
-    return index, distance
+    return index.astype(np.int64), distance
+
+
+def _by_row(keys: np.ndarray, size: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds, columns and weights of the rows of a square matrix whose cells row * size + column are given, sorted here; without weights, each counts once and for one."""
+    if weights is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, weights = keys[order], weights[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    weights = np.ones(int(first.sum()), np.float32) if weights is None else np.add.reduceat(weights, np.flatnonzero(first)) if len(keys) else weights
+    keys = keys[first]
+    bounds = np.searchsorted(keys, np.arange(size + 1) * size)
+    keys %= size
+    return bounds, keys.astype(np.int32), weights
 
 
 def louvain(index: np.ndarray, n: int, resolution: float = 1.0, seed: int = 0, rounds: int = 20) -> np.ndarray:
-    """Communities of the graph that links each point with its neighbours (either way counts), by modularity with a resolution: local moves, then merging, until nothing changes."""
+    """Communities of the graph that links each point with its neighbours (either way counts), by modularity with a resolution: local moves, then merging, until nothing changes.
+
+    The graph is three arrays: a sample of 200,000 with 15 neighbours has up to six million links, for which dictionaries take more than the driver has.
+    """
     rng = np.random.default_rng(seed)
-    graph: list[dict[int, float]] = [{} for _ in range(n)]
-    for i, near in enumerate(index.tolist()):
-        for j in near:
-            graph[i][j] = graph[j][i] = 1.0
+    k = index.shape[1]
+    keys = np.empty(2 * n * k, np.int64)
+    for half, (a, b) in zip((keys[: n * k], keys[n * k :]), ((np.repeat(np.arange(n), k), index.ravel()), (index.ravel(), np.repeat(np.arange(n), k))), strict=True):
+        half[:] = a
+        half *= n
+        half += b
+    bounds, others, links_of = _by_row(keys, n)
+    del keys, half, a, b
     member, own = np.arange(n), np.zeros(n)
     for _ in range(rounds):
-        size = len(graph)
-        degree = np.array([sum(g.values()) for g in graph]) + own
-        total = degree.sum() or 1.0
-        label, weight = np.arange(size), degree.copy()
+        size = len(bounds) - 1
+        row = np.repeat(np.arange(size, dtype=np.int32), np.diff(bounds))
+        degree = np.bincount(row, links_of, size) + own
+        total = float(degree.sum()) or 1.0
+        ends, weight, degree = bounds.tolist(), degree.tolist(), degree.tolist()
+        label = list(range(size))
         moved_any, moved = False, True
         while moved:
             moved = False
             for i in rng.permutation(size).tolist():
                 links: dict[int, float] = {}
-                for j, w in graph[i].items():
-                    links[label[j]] = links.get(label[j], 0.0) + w
-                weight[label[i]] -= degree[i]
-                best, gain = label[i], links.get(label[i], 0.0) - resolution * degree[i] * weight[label[i]] / total
+                lo, hi, mine = ends[i], ends[i + 1], label[i]
+                for j, w in zip(others[lo:hi].tolist(), links_of[lo:hi].tolist(), strict=True):
+                    c = label[j]
+                    links[c] = links.get(c, 0.0) + w
+                weight[mine] -= degree[i]
+                best, gain = mine, links.get(mine, 0.0) - resolution * degree[i] * weight[mine] / total
                 for c, w in sorted(links.items()):
                     if (g := w - resolution * degree[i] * weight[c] / total) > gain + 1e-12:
                         best, gain = c, g
                 weight[best] += degree[i]
-                if best != label[i]:
+                if best != mine:
                     label[i], moved, moved_any = best, True, True
         if not moved_any:
             break
-        _, label = np.unique(label, return_inverse=True)
-        member = label[member]
-        merged: list[dict[int, float]] = [{} for _ in range(label.max() + 1)]
-        inner = np.zeros(len(merged))
-        np.add.at(inner, label, own)
-        for i, links in enumerate(graph):
-            for j, w in links.items():
-                if label[i] == label[j]:
-                    inner[label[i]] += w
-                else:
-                    merged[label[i]][label[j]] = merged[label[i]].get(label[j], 0.0) + w
-        graph, own = merged, inner
-    order = np.argsort(-np.bincount(member), kind="stable")  # cluster 0 is the largest
+        _, merged = np.unique(label, return_inverse=True)
+        member, merged = merged[member], merged.astype(np.int32)
+        size = int(merged.max()) + 1
+        a, b = merged[row], merged[others]
+        inside = a == b
+        own = np.bincount(merged, own, size) + np.bincount(a[inside], links_of[inside], size)
+        bounds, others, links_of = _by_row(a[~inside].astype(np.int64) * size + b[~inside], size, links_of[~inside].astype(float))
+    return _by_size(member)
+
+
+def _by_size(labels: np.ndarray) -> np.ndarray:
+    """Labels numbered anew: cluster 0 is the largest."""
+    order = np.argsort(-np.bincount(labels), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return rank[member]
+    return rank[labels]
+
+
+def distinct_points(x: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each distinct point's first copy, in order, and for each row the number of its point. A hash groups the rows; all are compared with the first of their group, and a row that differs stays a point of its own."""
+    spread = np.random.default_rng(0).integers(0, 1 << 63, x.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    parts = range(0, len(x), step)
+
+    def hashed(part: np.ndarray) -> np.ndarray:
+        bits = np.ascontiguousarray(part + 0.0).view(np.uint64)  # one zero
+        return ((bits ^ (bits >> np.uint64(29))) * spread).sum(axis=1, dtype=np.uint64)
+
+    _, first, number = np.unique(np.concatenate([hashed(x[lo : lo + step]) for lo in parts]), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(np.concatenate([(x[lo : lo + step] != x[first[number[lo : lo + step]]]).any(axis=1) for lo in parts]))
+    number[odd] = len(first) + np.arange(len(odd))
+    first = np.concatenate([first, odd])
+    order = np.argsort(first)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return first[order], rank[number]
 
 
 class Network:
-    """A small network with one hidden layer, trained by Adam: softmax for classes, or linear outputs."""
+    """A small network with one hidden layer, trained by Adam: softmax for classes, which are given as numbers, or linear outputs."""
 
     def __init__(self, width: int, outputs: int, hidden: int = 64, seed: int = 0, classes: bool = True):
         rng = np.random.default_rng(seed)
@@ -227,6 +317,10 @@ class Network:
         a, b, c, d = self.parts
         return np.maximum(x @ a + b, 0) @ c + d
 
+    def classes_of(self, x: np.ndarray, step: int = 1024) -> np.ndarray:
+        """The likeliest class of each row."""
+        return np.concatenate([self(x[lo : lo + step]).argmax(axis=1) for lo in range(0, len(x), step)] or [np.empty(0, np.int64)])
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 50, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 0) -> Network:
         rng, first, second, step = np.random.default_rng(seed), [0.0] * 4, [0.0] * 4, 0
         for _ in range(epochs):
@@ -239,7 +333,10 @@ class Network:
                 if self.classes:
                     out = np.exp(out - out.max(axis=1, keepdims=True))
                     out /= out.sum(axis=1, keepdims=True)
-                error = (out - y[rows]) / len(rows)
+                    out[np.arange(len(rows)), y[rows]] -= 1
+                    error = out / len(rows)
+                else:
+                    error = (out - y[rows]) / len(rows)
                 back = (error @ c.T) * (h > 0)
                 for i, g in enumerate((x[rows].T @ back, back.sum(axis=0), h.T @ error, error.sum(axis=0))):
                     first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
@@ -251,18 +348,24 @@ def graph_clustering(points: DataFrame, fit_sample_n: int = 200_000, n_neighbors
     """Labels (cell, cluster_id) of all cells, parameters, evaluation, and the evaluation as a dict.
 
     The teacher's sample is bounded by fit_sample_n and lies on the driver; its exact neighbours are
-    found on the executors, with quadratic work.
+    found on the executors, with quadratic work. Copies of a point get one label from the student, so
+    they are one node of the teacher's graph: as each other's neighbours they would be a community for
+    every point that has more than n_neighbors copies. The student learns from all of the sample.
     """
     checked(points)
     cells, x = sample_of(points, fit_sample_n, random_state)
     if len(cells) < 3:
         raise ValueError("too few cells to cluster")
-    labels = louvain(neighbours_of(points.sparkSession, x, n_neighbors)[0], len(x), resolution, random_state)
+    first, number = distinct_points(x)
+    if len(first) > 1:
+        labels = _by_size(louvain(neighbours_of(points.sparkSession, x[first], n_neighbors)[0], len(first), resolution, random_state)[number])
+    else:
+        labels = number
     mean, std = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-    z, hot = (x - mean) / std, np.eye(labels.max() + 1)[labels]
+    z = (x - mean) / std
     held = np.random.default_rng(random_state).permutation(len(x)) % 10 == 0
-    student = Network(z.shape[1], hot.shape[1], seed=random_state).fit(z[~held], hot[~held], epochs, seed=random_state)
-    guess, truth = student(z[held]).argmax(axis=1), labels[held]
+    student = Network(z.shape[1], int(labels.max()) + 1, seed=random_state).fit(z[~held], labels[~held], epochs, seed=random_state)
+    guess, truth = student.classes_of(z[held]), labels[held]
     recall = [float((guess[truth == c] == c).mean()) for c in np.unique(truth)]
     f1 = [2 * ((guess == c) & (truth == c)).sum() / max(1, (guess == c).sum() + (truth == c).sum()) for c in np.unique(truth)]
     scores = {"accuracy": float((guess == truth).mean()), "balanced_accuracy": float(np.mean(recall)), "macro_f1": float(np.mean(f1)), "n_clusters": float(labels.max() + 1)}
@@ -270,7 +373,7 @@ def graph_clustering(points: DataFrame, fit_sample_n: int = 200_000, n_neighbors
     def run(batches):
         for batch in batches:
             v = _stacked(batch.column(1).to_pylist())
-            out = student((v - mean) / std).argmax(axis=1) if len(v) else np.empty(0)
+            out = student.classes_of((v - mean) / std) if len(v) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.astype(np.int32))], ["cell", "cluster_id"])
 
     spark = points.sparkSession

@@ -212,3 +212,27 @@ def test_neighbours_on_executors_equal_plain_ones(spark):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     assert (index == np.argsort(d, axis=1)[:, :5]).all() and np.allclose(distance, np.sort(d, axis=1)[:, :5])
+
+
+def test_graph_clustering_joins_copies_of_points(spark):
+    """Twenty copies of each of 60 points in three groups: neighbours among copies alone would make 60 communities."""
+    df = spark.createDataFrame([(i, [float(i % 3) * 90, float(i % 60) / 20]) for i in range(1200)], "cell long, values array<double>")
+    labels, _, _, scores = cluster.graph_clustering(df, n_neighbors=5, epochs=20)
+    got = labels.toPandas()
+    assert len(got) == 1200 and scores["n_clusters"] < 30
+    assert (got.groupby(["cluster_id"])["cell"].agg(lambda c: (c % 3).value_counts(normalize=True).max()) > 0.95).all()
+    sampled, x = cluster.sample_of(df, 100, 3)
+    h = df.selectExpr("cell", "xxhash64(cell + 3L) as h").orderBy("h").limit(100)
+    assert [r.cell for r in h.collect()] == sampled.tolist() and np.allclose(x[:, 0], sampled % 3 * 90)
+
+
+def test_louvain_takes_little_of_the_driver():
+    """Under 1,400 bytes a point of 15 neighbours; dictionaries took 1,800."""
+    import tracemalloc
+
+    index = (np.arange(4000)[:, None] + np.random.default_rng(0).integers(1, 60, (4000, 15))) % 4000
+    tracemalloc.start()
+    found = cluster.louvain(index, 4000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4000 and peak < 1400 * 4000, peak
