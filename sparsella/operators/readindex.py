@@ -58,12 +58,24 @@ def dense_block(genes, data, zero: np.ndarray) -> np.ndarray:
     return out
 
 
+def sparse_rows(matrix: DataFrame, cells: DataFrame, batch_size: int = 2048, buffer_batches: int = 5, seed: int | None = None, turn: int = 0) -> DataFrame:
+    """One row a cell: filter_cell_id, its place and batch in a pass, and its stored entries as arrays genes and data, null where it has none. seed None: in order. Nothing is as long as the number of genes."""
+    places = cells.select("filter_cell_id", F.col("filter_cell_id").alias("place")) if seed is None else shuffled_order(cells, batch_size, buffer_batches, seed, turn)
+    held = matrix.groupBy("filter_cell_id").agg(F.collect_list(F.col("filter_gene_id").cast("int")).alias("genes"), F.collect_list(F.col("data").cast("float")).alias("data"))
+    return places.join(held, "filter_cell_id", "left").withColumn("batch", F.expr(f"cast(floor(place / {batch_size}) as bigint)"))
+
+
+def row_sums(rows: DataFrame) -> DataFrame:
+    """sparse_rows with the total and weighted (by gene number from 1) sums of each cell's values, where absent entries are zero."""
+    pairs = F.zip_with("genes", "data", lambda g, v: v.cast("double") * (g + F.lit(1).cast("long")))
+    plus = lambda a, v: a + v
+    return rows.withColumns({"total": F.coalesce(F.aggregate("data", F.lit(0.0), plus), F.lit(0.0)), "weighted": F.coalesce(F.aggregate(pairs, F.lit(0.0), plus), F.lit(0.0))})
+
+
 def map_dense(matrix: DataFrame, cells: DataFrame, zero: np.ndarray, make, schema: str, batch_size: int = 2048, buffer_batches: int = 5, seed: int | None = None, turn: int = 0, obs_col: DataFrame | None = None) -> DataFrame:
     """make(columns, block) of blocks of cells, on the executors: columns are filter_cell_id, place, batch and those of obs_col (by filter_cell_id), as Arrow; block is dense. It returns what schema says."""
     zero = np.asarray(zero, np.float32)
-    places = cells.select("filter_cell_id", F.col("filter_cell_id").alias("place")) if seed is None else shuffled_order(cells, batch_size, buffer_batches, seed, turn)
-    held = matrix.groupBy("filter_cell_id").agg(F.collect_list(F.col("filter_gene_id").cast("int")).alias("genes"), F.collect_list(F.col("data").cast("float")).alias("data"))
-    rows = places.join(held, "filter_cell_id", "left").withColumn("batch", F.expr(f"cast(floor(place / {batch_size}) as bigint)"))
+    rows = sparse_rows(matrix, cells, batch_size, buffer_batches, seed, turn)
     if obs_col is not None:
         rows = rows.join(obs_col, "filter_cell_id", "left")
     keep = [c for c in rows.columns if c not in ("genes", "data")]
@@ -151,3 +163,61 @@ def streamed_moments(dense: DataFrame) -> DataFrame:
     total = parts.groupBy("gene").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
     between = parts.withColumnsRenamed({"n": "k", "mean": "mu"}).join(total, "gene")
     return between.groupBy("gene").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum(F.col("m2") + F.col("k") * (F.col("mu") - F.col("mean")) ** 2).alias("m2"))
+
+
+#: Rows of moments that a task gathers before it merges them.
+GATHERED = 1 << 20
+
+
+def _merge(gene: np.ndarray, k: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts, means and squared deviations of equal genes, merged (Chan et al.)."""
+    order = np.argsort(gene, kind="stable")
+    gene, k, mean, m2 = gene[order], k[order], mean[order], m2[order]
+    first = np.ones(len(gene), bool)
+    first[1:] = gene[1:] != gene[:-1]
+    at = np.flatnonzero(first)
+    n = np.add.reduceat(k, at)
+    center = np.add.reduceat(k * mean, at) / n
+    return gene[at], n, center, np.add.reduceat(m2 + k * (mean - np.repeat(center, np.diff(np.append(at, len(gene))))) ** 2, at)
+
+
+def _moments(parts):
+    """Batches of merged moments of parts, which are merged whenever GATHERED of them are held."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > GATHERED:
+            held = [_merge(*map(np.concatenate, zip(*held, strict=True)))]
+            size = min(len(held[0][0]), GATHERED // 2)  # so that as many new ones come before the next merge
+    if held and any(len(h[0]) for h in held):
+        found = _merge(*map(np.concatenate, zip(*held, strict=True)))
+        for lo in range(0, len(found[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in found], ["gene", "k", "mean", "m2"])
+
+
+def sparse_moments(rows: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
+    """gene, n, mean and m2 of all genes as streamed_moments gives them, from batches of sparse_rows.
+
+    Each task merges its batches' stored entries by gene, a shuffle brings the tasks' moments together, and the absent
+    entries, which number cells less stored ones, are merged last: work and memory go with the stored entries, not
+    with cells times genes. They are zero, or the gene's zero_scale_transform where genes has that column.
+    """
+
+    def stored(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                gene, v = part.column(0).flatten().to_numpy().astype(np.int64), part.column(1).flatten().to_numpy().astype(float)
+                if len(gene):
+                    yield _merge(gene, np.ones(len(gene), np.int64), v, np.zeros(len(gene)))
+
+    read = lambda batches: (tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows)
+    schema = "gene long, k long, mean double, m2 double"
+    parts = rows.select("genes", "data").where("genes is not null").mapInArrow(lambda batches: _moments(stored(batches)), schema)
+    whole = parts.repartition("gene").mapInArrow(lambda batches: _moments(read(batches)), schema)
+    zero = F.coalesce(F.col("zero_scale_transform"), F.lit(0.0)).cast("float").cast("double") if "zero_scale_transform" in genes.columns else F.lit(0.0)
+    all_of_them = genes.select(F.col("filter_gene_id").cast("long").alias("gene"), zero.alias("zero")).join(whole, "gene", "left").fillna(0, ["k", "mean", "m2"])
+    n, k = F.col("n"), F.col("k")
+    counted = all_of_them.crossJoin(F.broadcast(cells.agg(F.count("*").alias("n"))))  # one row
+    return counted.where("n > 0").select("gene", "n", ((k * F.col("mean") + (n - k) * F.col("zero")) / n).alias("mean"), (F.col("m2") + k * (n - k) / n * (F.col("mean") - F.col("zero")) ** 2).alias("m2"))

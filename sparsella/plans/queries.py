@@ -264,13 +264,6 @@ def batch_plan(s, d):
     return plan.select(*[F.col(c).cast("long").alias(c) for c in ("batch", "first_cell", "last_cell", "n_cells", "nnz")])
 
 
-def _dense(s, d, batch):
-    x, cells, genes = _index(s, d)
-    import numpy as np
-
-    return readindex.dense_batches(readindex.filtered_matrix(x, cells, genes), cells, np.zeros(genes.count(), np.float32), batch)
-
-
 @query(f"WITH {FC}, m AS (SELECT fcell, fgene, v FROM fc JOIN x ON x.cell_id = fc.cell_id JOIN fg ON x.gene_id = fg.gene_id) SELECT CAST(fcell // 256 AS BIGINT) AS batch, SUM(v) AS total, SUM(v * (fgene + 1)) AS weighted FROM m GROUP BY fcell // 256")
 def dense_batch_checksum(s, d):
     import numpy as np
@@ -281,7 +274,8 @@ def dense_batch_checksum(s, d):
 
 @query(f"WITH {FC}, m AS (SELECT fgene, SUM(v) AS s1, SUM(v * v) AS s2 FROM fc JOIN x ON x.cell_id = fc.cell_id JOIN fg ON x.gene_id = fg.gene_id GROUP BY fgene), n AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM fc) SELECT CAST(fg.fgene AS BIGINT) AS gene, {r6('COALESCE(s1, 0) / n')} AS mean, {r6('COALESCE((s2 - s1 * s1 / n) / (n - 1), 0)', 4)} AS variance FROM fg CROSS JOIN n LEFT JOIN m ON m.fgene = fg.fgene")
 def minibatch_streaming_moments(s, d):
-    out = readindex.streamed_moments(_dense(s, d, 256))
+    x, cells, genes = _index(s, d)
+    out = readindex.sparse_moments(readindex.sparse_rows(readindex.filtered_matrix(x, cells, genes), cells, 256), cells, genes)
     return rounded(rounded(out.select("gene", "mean", (F.col("m2") / (F.col("n") - 1)).alias("variance")), "mean"), "variance", digits=4)
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparsella.functions import naming, stats
 from sparsella.operators import annotate, cluster, hvg, linalg, matrix, plotdata, qc, ranking, readindex, transform
@@ -236,3 +237,21 @@ def test_louvain_takes_little_of_the_driver():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 4000 and peak < 1400 * 4000, peak
+
+
+def test_moments_of_stored_entries_equal_those_of_dense_batches(data, spark):
+    """Also with absent entries that are not zero; and with 3,000,000 genes, whose dense batches no task could hold."""
+    dense, x, obs, var = data
+    cells, genes = readindex.chosen(obs, "cell_id", None, "filter_cell_id"), readindex.chosen(var, "gene_id", None, "filter_gene_id")
+    m = readindex.filtered_matrix(x, cells, genes).cache()
+    rows = readindex.sparse_rows(m, cells, 5)
+    zero = np.linspace(-1, 1, GENES).astype(np.float32)
+    filled = genes.withColumn("zero_scale_transform", F.element_at(F.array(*[F.lit(float(z)) for z in zero]), F.col("filter_gene_id").cast("int") + 1))
+    for g, z in ((genes, np.zeros(GENES)), (filled, zero)):
+        want = {r.gene: (r.n, r["mean"], r.m2) for r in readindex.streamed_moments(readindex.dense_batches(m, cells, z, 5)).collect()}
+        got = {r.gene: (r.n, r["mean"], r.m2) for r in readindex.sparse_moments(rows, cells, g).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    many = spark.range(3_000_000).withColumnRenamed("id", "filter_gene_id")
+    wide = readindex.sparse_moments(readindex.sparse_rows(m.withColumn("filter_gene_id", F.col("filter_gene_id") * 299_999), cells), cells, many)
+    assert tuple(wide.agg(F.count("*"), F.sum("n")).first()) == (3_000_000, 3_000_000 * CELLS)
+    assert by(wide.where("gene % 299999 = 0 and gene < 2999990"), "gene", "mean") == pytest.approx({j * 299_999: dense[:, j].mean() for j in range(GENES)})
